@@ -5,11 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ketflow.llm import quality
+from ketflow.llm import chat, decontam, quality, simhash
 from ketflow.llm.common import table
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and conversation -7, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations")
+    control = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
+    turns = chat.canonical_turns(rows).unionByName(chat.canonical_turns(own))
+    return chat.digest(chat.format_turns(turns))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.digest(decontam.matches(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and rule verdict of every document."""
     return quality.score(table(spark, sf_dir, "documents"))
@@ -17,11 +39,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op5_chat_formatting": op5_chat_formatting,
+        "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_chat_formatting": chat.oracle(),
+        "op9_benchmark_decontamination": decontam.oracle(),
         "op10_quality_rules": quality.oracle(),
     }
