@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +55,23 @@ def split_words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of ``text``; null gives an empty array."""
     spaced = F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS[1:], " " * (len(SPACE_CHARS) - 1))
     return F.array_remove(F.split(spaced, " "), "")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's code once per context: they need not share the driver's folders."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ketflow_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="ketflow-")) / "ketflow_code.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in [root / "__init__.py", *sorted((root / "llm").glob("*.py"))]:
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(at))
+    sc._ketflow_shipped = True
+
+
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` with this package's code at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ketflow.llm.common import map_arrow
+
 WINDOW = 10
 SHINGLE = 3
 BLOCK_BYTES = 8 << 20
@@ -182,7 +184,7 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shingle: in
 
         counts = np.zeros(len(index.codes), np.int64)
         if len(index.codes):
-            for r in texts.mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():
+            for r in map_arrow(texts, count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():
                 counts[r.code] = r.n
         index.choose_prefixes(counts)
         ready = sc.broadcast(index)
@@ -200,7 +202,7 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shingle: in
                     found.append({"n_words": n, "spans": _spans(hit), "items": sorted(items)})
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, _FOUND)], names=[f"c{i}" for i in range(b.num_columns)])
 
-        done = done.mapInArrow(look, schema)
+        done = map_arrow(done, look, schema)
     return done
 
 

@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ketflow.llm import chat, decontam, quality, simhash
+from ketflow.llm import chat, decontam, langid, quality, simhash, toxicity
 from ketflow.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.learns(F.col("doc_id")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (~toxicity.learns(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.classes(table(spark, sf_dir, "documents"))
@@ -26,6 +34,13 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(turns))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.select("doc_id", "text", "lang"), langid.learns(F.col("doc_id")))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (~langid.learns(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,8 +54,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op5_chat_formatting": op5_chat_formatting,
+        "op7_language_id": op7_language_id,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_quality_rules": op10_quality_rules,
     }

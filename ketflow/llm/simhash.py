@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ketflow.llm.common import materialize
+from ketflow.llm.common import map_arrow, materialize
 from ketflow.llm.graph import components
 
 SEED = 42
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp bigint")
+    return map_arrow(rows, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp bigint")
 
 
 class BKTree:
@@ -162,7 +162,7 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
             yield _pairs(_stars(np.concatenate(held), radius))
 
     rows = fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), run, "a bigint, b bigint").distinct()
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
