@@ -55,11 +55,12 @@ def has_letter(text: str | None) -> bool:
 class Lattice:
     """Finds the vocabulary's pieces at every position of many words at once."""
 
-    def __init__(self, path: str | None = None) -> None:
-        words = sorted(p for p in pieces.vocabulary(path) if len(p) <= MAX_PIECE and pieces.SPACE not in p[1:])
-        self.n = len(words)
+    def __init__(self, path: str | None = None, longest: int = MAX_PIECE, words: list[str] | None = None) -> None:
+        if words is None:
+            words = sorted(p for p in pieces.vocabulary(path) if len(p) <= longest and pieces.SPACE not in p[1:])
+        self.words, self.n, self.longest = words, len(words), longest
         self.tables = []
-        for size in range(1, MAX_PIECE + 1):
+        for size in range(1, longest + 1):
             of = [(i, p) for i, p in enumerate(words) if len(p) == size]
             if not of:
                 self.tables.append(None)
@@ -68,37 +69,47 @@ class Lattice:
             h = np.zeros(len(of), np.uint64)
             for k in range(size):
                 h = h * _MULT + codes[:, k] + np.uint64(1)
-            bits = max(8, int(np.ceil(np.log2(len(of) * 4))))
-            self.tables.append(self._table(h, np.array([i for i, _ in of], np.int64), bits))
+            self.tables.append(self._table(h, [i for i, _ in of]))
 
     @staticmethod
-    def _slot(h: np.ndarray, bits: int) -> np.ndarray:
-        return ((h * _MULT) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def _table(self, h: np.ndarray, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Open hash table; keys that collide make it larger, so that one probe is enough."""
-        while True:
-            slot = self._slot(h, bits)
-            if bits >= 24 or len(np.unique(slot)) == len(slot):
-                break
-            bits += 1
-        if len(np.unique(slot)) < len(slot):  # beyond that, binary search
-            order = np.argsort(h)
-            return h[order], ids[order], 0
-        keys, vals = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int64)
-        keys[slot], vals[slot] = h, ids
-        return keys, vals, bits
+    def _table(h: np.ndarray, ids: list[int]) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Open hash table (keys, values, shift, longest probe) with one slot in sixteen filled."""
+        bits = max(8, (len(ids) * 16 - 1).bit_length())
+        keys, vals, longest = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int64), 0
+        for k, i, at in zip(h, ids, ((h * _MULT) >> np.uint64(64 - bits)).tolist(), strict=True):
+            probe = 0
+            while keys[(at + probe) % len(keys)]:
+                probe += 1
+            keys[(at + probe) % len(keys)], vals[(at + probe) % len(keys)] = k, i
+            longest = max(longest, probe)
+        return keys, vals, 64 - bits, longest
+
+    @staticmethod
+    def _look(table: tuple[np.ndarray, np.ndarray, int, int], h: np.ndarray) -> np.ndarray:
+        keys, vals, shift, longest = table
+        slot = ((h * _MULT) >> np.uint64(shift)).astype(np.int64)
+        out = np.where(keys[slot] == h, vals[slot], -1)
+        left = np.flatnonzero((keys[slot] != h) & (keys[slot] != 0))
+        for probe in range(1, longest + 1):
+            at = (slot[left] + probe) % len(keys)
+            same = keys[at] == h[left]
+            out[left[same]] = vals[at[same]]
+            left = left[~same & (keys[at] != 0)]
+        return out
 
     def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """(starts, lengths, ids per size): ids[s][k] is the piece of s + 1 signs at sign k, or -1; a lone unknown sign is piece n."""
-        marked = [pieces.SPACE + w for w in words]
+        return self.find_marked([pieces.SPACE + w for w in words])
+
+    def find_marked(self, marked: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """``find`` over words that bear their marks already."""
         lengths = np.fromiter(map(len, marked), np.int64, len(marked))
         signs = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         starts = np.cumsum(lengths) - lengths
         left = np.repeat(starts + lengths, lengths) - np.arange(len(signs))
         h = np.zeros(len(signs), np.uint64)
         out = []
-        for size in range(1, MAX_PIECE + 1):
+        for size in range(1, self.longest + 1):
             n = len(signs) - size + 1
             if n <= 0:
                 break
@@ -106,9 +117,7 @@ class Lattice:
             ids = np.full(len(signs), -1, np.int64)
             t = self.tables[size - 1]
             if t is not None:
-                keys, vals, bits = t
-                slot = self._slot(h, bits) if bits else np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                ids[:n] = np.where((keys[slot] == h) & (left[:n] >= size), vals[slot], -1)
+                ids[:n] = np.where(left[:n] >= size, self._look(t, h), -1)
             if size == 1:
                 ids[ids < 0] = self.n
             out.append(ids)
@@ -239,8 +248,8 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, ro
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample / totals[k]))])
     drawn = F.pmod(F.xxhash64(key, F.lit("langid")), F.lit(1 << 30)) < F.element_at(share, lang) * float(1 << 30)
     rows = known.filter(drawn).select(lang.alias("lang"), F.col(text_col).alias("text"))
-    lattice = Lattice(path)
-    probs = np.full((lattice.n + 1, len(languages)), 1.0 / lattice.n)
+    size = Lattice(path).n
+    probs = np.full((size + 1, len(languages)), 1.0 / size)
     probs[-1] = UNKNOWN
     sc = docs.sparkSession.sparkContext
     for _ in range(rounds):
@@ -271,8 +280,8 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, ro
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(k, pa.int64()), pa.array(into[piece, k])], names=["piece", "k", "n"])
 
         counts = np.full_like(probs, SMOOTH)
-        for r in map_arrow(rows, expect, "piece bigint, k bigint, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).collect():
-            counts[r.piece, r.k] += r.n
+        got = map_arrow(rows, expect, "piece bigint, k bigint, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toArrow()
+        counts[got["piece"].to_numpy(), got["k"].to_numpy()] += got["n"].to_numpy()
         probs = counts / counts[:-1].sum(axis=0)
         probs[-1] = UNKNOWN
     return Model(languages, probs, path)
