@@ -10,16 +10,18 @@ holds the sorted distinct n-grams of a bounded number of tokens in packed column
 counts are aggregated before any shuffle and an n-gram costs some six bytes on the
 wire instead of a row of forty.  The steps:
 
-1. ``blocks``  documents -> one row a block: distinct n-gram hashes with counts, the
-   links of each n-gram to its context and its suffix, and the n-gram of each token;
-   written to the shared folder.
-2. ``counts``  blocks -> slices (order, hash range, block), shuffled by hash range; each
-   range adds up its slices and answers every slice with the corpus counts.
+1. ``blocks``  documents -> one row a block: the hashes of its distinct words and its
+   tokens; written to the shared folder.
+2. ``counts``  blocks -> slices (order, hash range, block) of distinct n-gram hashes with
+   their counts, shuffled by hash range; each range adds up its slices and answers every
+   slice with the corpus counts.
 3. ``score``   answers joined to blocks by block; log scores summed per document.
 
 A frequent n-gram occurs once a block, so no hash range is hot; ranges are as many as
 the number of tokens demands.  All documents and all n-grams take part.  N-grams are
-known by 64-bit hashes (at 10^8 n-grams a clash has odds of about 1 in 3000).
+known by 64-bit hashes (at 10^8 n-grams a clash has odds of about 1 in 3000).  A block
+stores its words' hashes and its tokens only; its n-grams are made again from them where
+they are needed, which costs less than to store and shuffle them twice.
 
 Edge cases: null and blank texts have 0 tokens, score 0 and mean 0; repeated rows are
 counted and scored each; an empty table gives no rows; extra columns are not read; a
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -78,37 +81,47 @@ def _join(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _block(texts: list[list[bytes]], order: int) -> dict[str, list[bytes]]:
-    """Packed columns of one block of tokenised documents."""
-    lengths = np.array([len(t) for t in texts], np.int64)
+def _tokens(texts: list[list[bytes]]) -> tuple[bytes, bytes]:
+    """Packed sorted word hashes of tokenised documents, and the packed place of each token among them."""
     local: dict[bytes, int] = {}
-    flat = np.fromiter((local.setdefault(w, len(local)) for t in texts for w in t), np.int64, int(lengths.sum()))
-    words = np.array([xxhash.xxh64_intdigest(w, 0) for w in local], np.uint64)[flat] if local else np.empty(0, np.uint64)
-    offset = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out: dict[str, list[bytes]] = {"hash": [], "count": [], "ctx": [], "suf": [], "top": []}
-    gram, back = words, None
+    flat = np.fromiter((local.setdefault(w, len(local)) for t in texts for w in t), np.int64, sum(map(len, texts)))
+    hashes = np.array([xxhash.xxh64_intdigest(w, 0) for w in local], np.uint64)
+    vocabulary, place = np.unique(hashes, return_inverse=True)
+    return pack(vocabulary), pack(place[flat].astype(np.int32) if local else np.empty(0, np.int32))
+
+
+@dataclass
+class Grams:
+    """Distinct n-grams of one order in a block: hashes in order, counts, places of context and suffix one order down, and the n-gram of each token for which this order is the longest."""
+
+    hash: np.ndarray
+    count: np.ndarray
+    ctx: np.ndarray
+    suf: np.ndarray
+    top: np.ndarray
+
+
+def grams(vocabulary: bytes, tokens: bytes, lengths: list[int], order: int) -> list[Grams]:
+    """The n-grams of a block, one entry an order."""
+    size = np.array(lengths, np.int64)
+    words = unpack(vocabulary, np.uint64)[unpack(tokens, np.int32)]
+    offset = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
+    out: list[Grams] = []
+    gram, back = words, np.empty(0, np.int64)
     for k in range(1, order + 1):
         if k > 1:
             gram = np.concatenate([np.zeros(min(1, len(gram)), np.uint64), _join(gram[:-1], words[1:])])
         at = np.flatnonzero(offset >= k - 1)
         uniq, first, inverse, count = np.unique(gram[at], return_index=True, return_inverse=True, return_counts=True)
-        index = np.full(len(flat), -1, np.int32)
+        index = np.full(len(words), -1, np.int32)
         index[at] = inverse
         where = at[first]
-        none = np.empty(0, np.int32)
-        out["ctx"].append(pack(back[where - 1] if k > 1 else none))
-        out["suf"].append(pack(back[where] if k > 1 else none))
-        out["hash"].append(pack(uniq))
-        out["count"].append(pack(count.astype(np.uint32)))
-        out["top"].append(pack(index[offset == k - 1] if k < order else index[at]))
+        out.append(Grams(uniq, count, back[where - 1] if k > 1 else back, back[where] if k > 1 else back, index[offset == k - 1] if k < order else index[at]))
         back = index
     return out
 
 
-_PACKED = ("hash", "count", "ctx", "suf", "top")
-
-
-def blocks(docs: DataFrame, order: int = ORDER, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The written table of blocks."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -120,11 +133,10 @@ def blocks(docs: DataFrame, order: int = ORDER, block_tokens: int = BLOCK_TOKENS
 
         def flush() -> pa.RecordBatch:
             nonlocal ids, texts, held, serial
-            b = _block(texts, order)
             cols = [pa.array([serial], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([[len(t) for t in texts]], pa.list_(pa.int64()))]
-            cols += [pa.array([b[c]], pa.list_(pa.binary())) for c in _PACKED]
+            cols += [pa.array([c], pa.binary()) for c in _tokens(texts)]
             ids, texts, held, serial = [], [], 0, serial + 1
-            return pa.RecordBatch.from_arrays(cols, names=["block", "ids", "lengths", *_PACKED])
+            return pa.RecordBatch.from_arrays(cols, names=["block", "ids", "lengths", "vocabulary", "tokens"])
 
         for b in batches:
             id_type = b.column(0).type
@@ -139,7 +151,7 @@ def blocks(docs: DataFrame, order: int = ORDER, block_tokens: int = BLOCK_TOKENS
             yield flush()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    schema = f"block bigint, ids array<{kind}>, lengths array<bigint>, " + ", ".join(f"`{c}` array<binary>" for c in _PACKED)
+    schema = f"block bigint, ids array<{kind}>, lengths array<bigint>, vocabulary binary, tokens binary"
     return materialize(map_arrow(rows, run, schema))
 
 
@@ -149,10 +161,10 @@ def counts(table: DataFrame, ranges: int, order: int = ORDER, min_count: int = M
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, hashes, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for block, lengths, vocabulary, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows = []
-                for k in range(order):
-                    h, n = unpack(hashes[k], np.uint64), unpack(own[k], np.uint32)
+                for k, g in enumerate(grams(vocabulary, tokens, lengths, order)):
+                    h, n = g.hash, g.count.astype(np.uint32)
                     edges = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
                     at = [0, *np.asarray(edges).tolist(), len(h)]
                     rows += [((k << 40) + p, block, k, lo, pack(h[lo:hi]), pack(n[lo:hi])) for p, (lo, hi) in enumerate(zip(at, at[1:], strict=False)) if hi > lo]
@@ -182,42 +194,40 @@ def counts(table: DataFrame, ranges: int, order: int = ORDER, min_count: int = M
         if held:
             yield answer()
 
-    slices = map_arrow(table.select("block", "hash", "count"), cut, "key bigint, block bigint, k int, lo bigint, h binary, n binary")
+    slices = map_arrow(table.select("block", "lengths", "vocabulary", "tokens"), cut, "key bigint, block bigint, k int, lo bigint, h binary, n binary")
     return map_arrow(slices.repartition("key").sortWithinPartitions("key"), add, "block bigint, k int, lo bigint, n binary")
 
 
 def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_backoff, log_score, mean_log_score) of every row; natural logarithms."""
-    table = blocks(docs, order, id_col=id_col, text_col=text_col)
+    table = blocks(docs, id_col=id_col, text_col=text_col)
     tokens = table.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     ranges = max(1, math.ceil(tokens / RANGE_NGRAMS))
     answers = counts(table, ranges, order, min_count).groupBy("block").agg(F.collect_list(F.struct("k", "lo", "n")).alias("answers"))
-    joined = table.select("block", "ids", "lengths", "ctx", "suf", "top").join(answers, "block", "left").select("ids", "lengths", "ctx", "suf", "top", "answers")
+    joined = table.join(answers, "block", "left").select("ids", "lengths", "vocabulary", "tokens", "answers")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             id_type = b.column(0).type.value_type
-            for ids, lengths, ctx, suf, top, got in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for ids, lengths, vocabulary, words, got in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 size = np.array(lengths, np.int64)
                 total, steps = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
                 below = log_below = steps_below = None
-                for k in range(order):
+                for k, g in enumerate(grams(vocabulary, words, lengths, order)):
                     parts = sorted((a["lo"], a["n"]) for a in got or () if a["k"] == k)
                     n = np.concatenate([unpack(x, np.int64) for _, x in parts]) if parts else np.empty(0, np.int64)
                     with np.errstate(divide="ignore"):
                         if k == 0:
                             logs, back = np.log(n / max(1, tokens)), np.zeros(len(n), np.int64)
                         else:
-                            c, s = unpack(ctx[k], np.int32), unpack(suf[k], np.int32)
                             seen = n > 0
-                            logs = np.where(seen, np.log(np.maximum(n, 1) / np.maximum(below[c], 1)), math.log(alpha) + log_below[s])
-                            back = np.where(seen, 0, 1 + steps_below[s])
-                    at = unpack(top[k], np.int32)
+                            logs = np.where(seen, np.log(np.maximum(n, 1) / np.maximum(below[g.ctx], 1)), math.log(alpha) + log_below[g.suf])
+                            back = np.where(seen, 0, 1 + steps_below[g.suf])
                     own = (size > k).astype(np.int64) if k < order - 1 else np.maximum(size - k, 0)
                     doc = np.repeat(np.arange(len(ids)), own)
-                    total += np.bincount(doc, weights=logs[at], minlength=len(ids))
-                    steps += np.bincount(doc, weights=back[at], minlength=len(ids)).astype(np.int64)
+                    total += np.bincount(doc, weights=logs[g.top], minlength=len(ids))
+                    steps += np.bincount(doc, weights=back[g.top], minlength=len(ids)).astype(np.int64)
                     below, log_below, steps_below = n, logs, back
                 mean = np.divide(total, size, out=np.zeros(len(ids)), where=size > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(size), pa.array(steps), pa.array(total), pa.array(mean)], names=["doc_id", "n_tokens", "n_backoff", "log_score", "mean_log_score"])
