@@ -19,6 +19,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ketflow.operators.relational import latest
 from ketflow.schema import CHECKPOINT, STATE, WAL
@@ -102,7 +103,8 @@ class StateStore:
 
     def all_versions(self) -> DataFrame:
         """All versions as one relation; a filter on state_version prunes folders."""
-        return self.spark.read.schema(STATE.add("state_version", "int")).option("basePath", self.root).parquet(self.root)
+        schema = T.StructType([*STATE.fields, T.StructField("state_version", T.IntegerType())])
+        return self.spark.read.schema(schema).option("basePath", self.root).parquet(self.root)
 
     def delete(self, version: int) -> None:
         self.files.delete(self.path(version))
