@@ -72,6 +72,23 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
-    """``mapInArrow`` with this package's code at hand on the executors."""
+    """``mapInArrow`` with this package's code at hand on the executors.
+
+    Columns are passed by place under plain names, as ``mapInArrow`` cannot take names with dots.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(fn, schema)
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by quoted name, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def extended(df: DataFrame, **new: str) -> tuple[DataFrame, object]:
+    """(df without columns of the new names, its schema with the new columns, types as DDL, at the end).
+
+    A column that has the name of an operator's output is replaced by it.
+    """
+    base = df.drop(*new)
+    return base, base.select(*columns_of(base), *[F.lit(None).cast(t).alias(n) for n, t in new.items()]).schema

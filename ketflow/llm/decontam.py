@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ketflow.llm.common import map_arrow
+from ketflow.llm.common import columns_of, extended, map_arrow
 
 WINDOW = 10
 SHINGLE = 3
@@ -167,8 +167,8 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shingle: in
     """All rows and columns of ``docs`` plus struct ``out``: n_words, hit spans [start, end) of words, item ids."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
-    done = docs.withColumn(out, F.lit(None).cast(_FOUND_DDL))
-    schema = done.schema
+    docs, schema = extended(docs, **{out: _FOUND_DDL})
+    done = docs.select(*columns_of(docs), F.lit(None).cast(_FOUND_DDL).alias(out))
     at_text, at_out = schema.fieldNames().index(text_col), len(schema) - 1
     for items in _blocks(bench, block_bytes, item_col, item_text_col):
         index = Index(items, window, shingle)

@@ -22,9 +22,8 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ketflow.llm.common import map_arrow
+from ketflow.llm.common import extended, map_arrow
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -248,6 +247,7 @@ def extract(html: str | None) -> str:
 
 def extract_pages(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """All rows and columns of ``pages`` plus the extracted text."""
+    pages, schema = extended(pages, **{out: "string"})
     at = pages.columns.index(html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,4 +255,4 @@ def extract_pages(pages: DataFrame, html_col: str = "html", out: str = "text") -
             texts = pa.array([extract(h) for h in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[f"c{i}" for i in range(b.num_columns + 1)])
 
-    return map_arrow(pages, run, pages.withColumn(out, F.lit("")).schema)
+    return map_arrow(pages, run, schema)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ketflow.llm import pieces
-from ketflow.llm.common import crc32_mod, map_arrow
+from ketflow.llm.common import crc32_mod, extended, map_arrow
 
 SAMPLE = 2000
 ROUNDS = 3
@@ -137,7 +137,7 @@ def _sweep(lattice: Lattice, probs: np.ndarray, words: list[str], counts: np.nda
     ring = longest + 1 if keep else MAX_PIECE + 1
     alpha = np.zeros((ring, len(words), n_lang))
     alpha[0] = 1.0
-    scale = np.zeros(len(words))
+    scale = np.zeros((len(words), n_lang))
     result = np.zeros((len(words), n_lang))
     active = np.searchsorted(-lengths, -np.arange(longest + 1), side="right")  # words of at least that length
     for j in range(1, longest + 1):
@@ -152,13 +152,13 @@ def _sweep(lattice: Lattice, probs: np.ndarray, words: list[str], counts: np.nda
         ended = active[j + 1] if j < longest else 0
         if ended < k:
             with np.errstate(divide="ignore"):
-                result[ended:k] = np.log(now[ended:]) + scale[ended:k, None]
+                result[ended:k] = np.log(now[ended:]) + scale[ended:k]
         if not keep and j % 8 == 0 and ended:
-            top = alpha[:, :ended].max(axis=(0, 2))
-            small = np.flatnonzero(top < 1e-60)
+            small = np.flatnonzero(alpha[:, :ended].max(axis=0).min(axis=1) < 1e-60)
             if len(small):
-                alpha[:, small] /= top[small][None, :, None]
-                scale[small] += np.log(top[small])
+                top = alpha[:, small].max(axis=0)
+                alpha[:, small] /= top
+                scale[small] += np.log(top)
     if keep:
         weights, into = counts
         weights = weights[order]
@@ -290,6 +290,7 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, ro
 def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "lang_pred", out_score: str = "score") -> DataFrame:
     """All rows and columns of ``docs`` plus the predicted language and its posterior."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs, schema = extended(docs, **{out: "string", out_score: "double"})
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +298,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "l
             names, scores = shared.value.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[f"c{i}" for i in range(b.num_columns + 2)])
 
-    return map_arrow(docs, run, docs.withColumn(out, F.lit("")).withColumn(out_score, F.lit(0.0)).schema)
+    return map_arrow(docs, run, schema)
 
 
 def learns(doc_id: Column) -> Column:

@@ -9,7 +9,7 @@ a bounded cache, and the N best of the text are the N best sums over its words,
 which only the N - 1 words with the smallest gaps to their second best can matter.
 
 The model file holds merge ranks and no probabilities; pieces are scored by Zipf's law
-on the rank, log 1 / (rank + ``ZIPF``).  A literal word mark is encoded by bytes and
+on the rank, log 1 / (rank + ``ZIPF``), in whole millionths.  A literal word mark is encoded by bytes and
 runs of white space are kept, so decoding gives back every text exactly.
 
 One pass over whole texts in Arrow batches, no shuffle.  Forward scores of all new
@@ -35,11 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ketflow.llm import pieces
-from ketflow.llm.common import map_arrow
+from ketflow.llm.common import extended, map_arrow
 from ketflow.llm.langid import Lattice
 
 N_BEST = 4
 ZIPF = 10.0
+#: Scores are kept as whole millionths, so that sums are exact.
+UNIT = 1_000_000
+_NEVER = -(1 << 60)
 CACHE = 400_000
 CELLS = 1_500_000
 _MARK = pieces.SPACE
@@ -57,10 +60,10 @@ class Codec:
         usable = {p: i for p, i in vocabulary.items() if not any(a != _MARK and b == _MARK for a, b in zip(p, p[1:], strict=False)) and "\n" not in p}
         self.longest = max(map(len, usable))
         least = min(usable.values())
-        self.score = {p: -float(np.log(i - least + ZIPF)) for p, i in usable.items()}
+        self.score = {p: -round(UNIT * float(np.log(i - least + ZIPF))) for p, i in usable.items()}
         self.ids = usable
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.byte_score = -float(np.log(sp.get_piece_size() + ZIPF))
+        self.byte_score = -round(UNIT * float(np.log(sp.get_piece_size() + ZIPF)))
         self.surface: list[bytes] = [b""] * sp.get_piece_size()
         for p, i in vocabulary.items():
             self.surface[i] = p.replace(_MARK, " ").encode()
@@ -69,13 +72,13 @@ class Codec:
         self.lattice = Lattice(path, longest=self.longest, words=sorted(usable))
         names = self.lattice.words
         self.piece_id = np.array([usable[p] for p in names], np.int32)
-        self.piece_score = np.array([self.score[p] for p in names])
-        self._known: dict[str, tuple[bytes, float, float]] = {}
+        self.piece_score = np.array([self.score[p] for p in names], np.int64)
+        self._known: dict[str, tuple[bytes, int, int]] = {}
         self._lists: dict[tuple[str, int], list] = {}
 
     # -- one chunk: A-star ---------------------------------------------------
 
-    def _arcs(self, s: str, end: int, chunk: str) -> Iterator[tuple[int, float, tuple[int, ...]]]:
+    def _arcs(self, s: str, end: int, chunk: str) -> Iterator[tuple[int, int, tuple[int, ...]]]:
         """(start, score, ids) of the arcs of ``chunk`` with lattice form ``s`` that end at ``end``."""
         for size in range(1, min(end, self.longest) + 1):
             p = s[end - size : end]
@@ -91,16 +94,20 @@ class Codec:
         """Lattice form of a chunk: spaces are word marks, and a literal mark becomes a sign that has no piece."""
         return _LITERAL if chunk == _MARK else chunk.replace(" ", _MARK)
 
-    def nbest_chunk(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best (score, ids) of one chunk, best first."""
+    def nbest_chunk(self, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The ``n`` best (score, ids) of one chunk, best first.
+
+        Scores are whole numbers, so equal segmentations are equal exactly and the search
+        goes straight on with the one that is closest to the start.
+        """
         s = self.marked(chunk)
-        best = [0.0] * (len(s) + 1)
+        best = [0] * (len(s) + 1)
         arcs: list[list] = [[]]
         for end in range(1, len(s) + 1):
             got = list(self._arcs(s, end, chunk))
             arcs.append(got)
             best[end] = max(best[a] + sc for a, sc, _ in got)
-        out, heap, serial = [], [(-best[len(s)], len(s), 0, 0.0, None)], 0
+        out, heap, serial = [], [(-best[len(s)], len(s), 0, 0, None)], 0
         while heap and len(out) < n:
             _, at, _, done, tail = heapq.heappop(heap)
             if at == 0:
@@ -133,10 +140,10 @@ class Codec:
         names = chunks[::-1]
         at, lengths, ids = self.lattice.find_marked(forms)
         m, longest = len(forms), int(lengths[0])
-        best = np.full((longest + 1, m), -np.inf)
-        second = np.full((longest + 1, m), -np.inf)
+        best = np.full((longest + 1, m), _NEVER)
+        second = np.full((longest + 1, m), _NEVER)
         step = np.zeros((longest + 1, m), np.int8 if self.longest < 128 else np.int32)
-        best[0] = 0.0
+        best[0] = 0
         signs = np.frombuffer("".join(forms).encode("utf-32-le"), np.uint32)
         n_bytes = 1 + (signs >= 0x80).astype(np.int64) + (signs >= 0x800) + (signs >= 0x10000)
         active = np.searchsorted(-lengths, -np.arange(longest + 1), side="right")
@@ -155,7 +162,7 @@ class Codec:
                     sc = self.piece_score[p]
                 b, s2 = best[j - size, use] + sc, second[j - size, use] + sc
                 old, old2 = best[j, use], second[j, use]
-                better = b > old
+                better = b >= old  # ties to the longer last piece, as in the search
                 second[j, use] = np.maximum(np.where(better, old, b), np.maximum(s2, old2))
                 best[j, use] = np.where(better, b, old)
                 step[j, use[better]] = size
@@ -191,7 +198,8 @@ class Codec:
                 code = np.array(flat, np.int32).tobytes()
             else:
                 code = raw[4 * lo : 4 * hi]
-            self._known[name] = (code, float(end_best[i]), float(end_best[i] - end_second[i]))
+            gap = int(end_best[i] - end_second[i]) if end_second[i] > _NEVER // 2 else -1
+            self._known[name] = (code, int(end_best[i]), gap)
 
     # -- texts ---------------------------------------------------------------
 
@@ -220,24 +228,29 @@ class Codec:
             got = list(map(get, c))
             codes, scores, gaps = zip(*got, strict=True)
             total = sum(scores)
-            out.append((b"".join(codes), [total - loss for loss, _ in self._losses(c, np.array(gaps), n)]))
+            out.append((b"".join(codes), [(total - loss) / UNIT for loss, _ in self._losses(c, np.array(gaps, np.int64), n)]))
         return out
 
-    def _chunk_losses(self, chunk: str, n: int) -> list[float]:
+    def _chunk_losses(self, chunk: str, n: int) -> list[int]:
         key = (chunk, n)
         if key not in self._lists:
             found = self.nbest_chunk(chunk, n)
             self._lists[key] = [found[0][0] - s for s, _ in found]
         return self._lists[key]
 
-    def _losses(self, chunks: list[str], gaps: np.ndarray, n: int) -> list[tuple[float, dict[int, int]]]:
-        """The n least (loss, rank by chunk position) over choices of a segmentation for each chunk."""
-        k = min(n - 1, len(gaps))
-        near = np.sort(np.argsort(gaps, kind="stable")[:k]) if k else np.empty(0, np.int64)
-        sums: list[tuple[float, dict[int, int]]] = [(0.0, {})]
-        for at in near.tolist():
-            if not np.isfinite(gaps[at]):
-                continue
+    def _losses(self, chunks: list[str], gaps: np.ndarray, n: int) -> list[tuple[int, dict[int, int]]]:
+        """The n least (loss, rank by chunk position) over choices of a segmentation for each chunk.
+
+        ``gaps`` are losses to the second best of each chunk, -1 where there is none.
+        """
+        open_ = np.flatnonzero(gaps >= 0)
+        if len(open_) > n - 1:
+            key = gaps[open_]
+            kth = np.partition(key, n - 2)[n - 2] if n > 1 else -1
+            less, same = open_[key < kth], open_[key == kth]
+            open_ = np.sort(np.concatenate([less, same[: n - 1 - len(less)]])) if n > 1 else open_[:0]
+        sums: list[tuple[int, dict[int, int]]] = [(0, {})]
+        for at in open_.tolist():
             own = self._chunk_losses(chunks[at], n)
             sums = heapq.nsmallest(n, [(a + b, c | {at: r} if r else c) for a, c in sums for r, b in enumerate(own)], key=lambda x: x[0])
         return sums
@@ -250,12 +263,12 @@ class Codec:
             return [(0.0, [])]
         base = sum(self._known[x][1] for x in c)
         out = []
-        for loss, ranks in self._losses(c, np.array([self._known[x][2] for x in c]), n):
+        for loss, ranks in self._losses(c, np.array([self._known[x][2] for x in c], np.int64), n):
             ids: list[int] = []
             for i, x in enumerate(c):
                 r = ranks.get(i, 0)
                 ids += self.nbest_chunk(x, n)[r][1] if r else np.frombuffer(self._known[x][0], np.int32).tolist()
-            out.append((base - loss, ids))
+            out.append(((base - loss) / UNIT, ids))
         return out
 
     def decode(self, ids) -> str:
@@ -271,8 +284,8 @@ def codec(path: str | None = None) -> Codec:
 
 def encode(docs: DataFrame, n: int = N_BEST, path: str | None = None, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` plus ``ids`` (null for a null text) and the ``scores`` of the n best segmentations."""
+    docs, schema = extended(docs, ids="array<int>", scores="array<double>")
     at = docs.columns.index(text_col)
-    schema = docs.withColumn("ids", F.lit(None).cast("array<int>")).withColumn("scores", F.lit(None).cast("array<double>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
@@ -289,6 +302,7 @@ def encode(docs: DataFrame, n: int = N_BEST, path: str | None = None, text_col:
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """All rows and columns plus the text that the ids stand for (null for null ids)."""
+    encoded, schema = extended(encoded, **{out: "string"})
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +311,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", ou
             texts = [None if i is None else tool.decode(i) for i in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[f"c{i}" for i in range(b.num_columns + 1)])
 
-    return map_arrow(encoded, run, encoded.withColumn(out, F.lit(None).cast("string")).schema)
+    return map_arrow(encoded, run, schema)
 
 
 def round_trip(docs: DataFrame, n: int = N_BEST, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

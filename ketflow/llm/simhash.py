@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ketflow.llm.common import map_arrow, materialize
+from ketflow.llm.common import columns_of, extended, map_arrow, materialize
 from ketflow.llm.graph import components
 
 SEED = 42
@@ -262,20 +262,20 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int
     names = [f"w{k}" for k in range(words)]
     own = [f"__fp{k}" for k in range(words)]
     at = docs.columns.index(text_col)
-    wide = docs.select("*", *[F.lit(0).cast("long").alias(c) for c in own])
+    _, schema = extended(docs, **dict.fromkeys(own, "bigint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(None if t is None else t.encode(), size, words) for t in b.column(at).to_pylist()], np.uint64).reshape(-1, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(fps[:, k]) for k in range(words))], names=[f"c{i}" for i in range(b.num_columns + words)])
 
-    rows = materialize(map_arrow(docs, run, wide.schema).withColumn("__rid", F.monotonically_increasing_id()))
+    rows = materialize(map_arrow(docs, run, schema).withColumn("__rid", F.monotonically_increasing_id()))
     distinct = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(own, names, strict=True)]).agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__rid").alias("rid"))).alias("best"))
     distinct = materialize(distinct.select(F.col("best.rid").alias("node"), "best", *names))
     label = components(links(distinct.select("node", *names), radius_of(similarity, 64 * words), words, 4 * words))
     named = distinct.select("node", "best").join(label, "node", "left").select("best", F.coalesce("label", "node").alias("label"))
     kept = named.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("__rid"))
-    return rows.join(kept, "__rid", "left_semi").select(*docs.columns)
+    return rows.join(kept, "__rid", "left_semi").select(*columns_of(docs))
 
 
 def hex_of(fp: Column) -> Column:

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ketflow.llm.common import crc32_mod, map_arrow
+from ketflow.llm.common import crc32_mod, extended, map_arrow
 
 MAX_TOXIC, MAX_ORDINARY = 2000, 6000
 WINDOW, GRAM = 4, 5
@@ -201,6 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """All rows and columns of ``docs`` plus double ``out``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs, schema = extended(docs, **{out: "double"})
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +209,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
             scores = pa.array([shared.value.score(t) for t in b.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[f"c{i}" for i in range(b.num_columns + 1)])
 
-    return map_arrow(docs, run, docs.withColumn(out, F.lit(0.0)).schema)
+    return map_arrow(docs, run, schema)
 
 
 def learns(doc_id: Column) -> Column:
