@@ -47,7 +47,7 @@ from ketflow.llm.common import map_arrow, materialize
 ORDER = 2
 MIN_COUNT = 2
 ALPHA = 0.4
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 20
 #: Distinct n-grams that a hash range gathers from all blocks, about.
 RANGE_NGRAMS = 1 << 20
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -60,7 +60,7 @@ def tokens_of(text: bytes | None) -> list[bytes]:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Integers as compressed byte planes; sorted 64-bit hashes as differences."""
+    """Integers as compressed byte planes; 64-bit hashes as differences modulo 2^64."""
     if values.dtype == np.uint64:
         values = np.diff(values, prepend=np.uint64(0))
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
@@ -82,12 +82,18 @@ def _join(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _tokens(texts: list[list[bytes]]) -> tuple[bytes, bytes]:
-    """Packed sorted word hashes of tokenised documents, and the packed place of each token among them."""
+    """Packed word hashes of tokenised documents, and the packed place of each token among them.
+
+    Words stand by falling frequency, then by hash: frequent tokens get small places, and
+    the many words of equal frequency still have short differences.
+    """
     local: dict[bytes, int] = {}
     flat = np.fromiter((local.setdefault(w, len(local)) for t in texts for w in t), np.int64, sum(map(len, texts)))
     hashes = np.array([xxhash.xxh64_intdigest(w, 0) for w in local], np.uint64)
-    vocabulary, place = np.unique(hashes, return_inverse=True)
-    return pack(vocabulary), pack(place[flat].astype(np.int32) if local else np.empty(0, np.int32))
+    order = np.lexsort((hashes, -np.bincount(flat, minlength=len(hashes))))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return pack(hashes[order]), pack(place[flat])
 
 
 @dataclass
