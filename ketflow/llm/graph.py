@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ketflow.llm.common import materialize
+from ketflow.llm.common import discard, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -15,7 +15,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     neighbours to the smallest neighbour it knows, until only stars are left, after a
     number of rounds logarithmic in the size of the largest component.  The edge count
     never grows, the minimum per node is aggregated before the shuffle, and each round
-    is written to the shared folder, so lineage stays one round deep.
+    is written to the shared folder, so lineage stays one round deep;
+    the round before it is then deleted.
     """
     now = materialize(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct())
     seen = None
@@ -30,5 +31,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         met = large.join(least, "a")
         small = met.select("a", F.col("m").alias("b")).union(met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = materialize(small.distinct())
+        last, now = now, materialize(small.distinct())
+        discard(last)
     raise RuntimeError(f"components not settled after {max_rounds} rounds")

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ketflow.llm.common import materialize
+from ketflow.llm.common import discard, materialize
 
 N_SHARDS = 8
 BUCKETS = 4096
@@ -118,6 +118,7 @@ def plan(rows: DataFrame, n_shards: int = N_SHARDS, fan: int = FAN) -> Plan:
         for c, b in zip(edges, where, strict=True):
             same = same | ((F.col("bucket") == names[b]) & (F.col("upto") == c - starts[b]))
         cuts = [bytes(r.g) for r in groups.filter(same).select("g").orderBy("g").collect()]
+    discard(groups)
     return Plan(high, tuple(cuts))
 
 
