@@ -25,7 +25,7 @@ from ketflow.functions import bits as B
 from ketflow.functions import gates as G
 from ketflow.plans.circuit import Gate
 from ketflow.plans.rewrite import Op, Stage, angle_of, combined, lower
-from ketflow.schema import EPSILON, STATE
+from ketflow.schema import EPSILON, GATE_MATRIX, STATE
 
 
 def initial_state(spark: SparkSession) -> DataFrame:
@@ -246,6 +246,23 @@ def apply_matrix_join(state: DataFrame, matrix: DataFrame, qubits: tuple[int, ..
     return prune(moved.groupBy("idx").agg(F.sum("real").alias("real"), F.sum("imag").alias("imag")))
 
 
+def matrix_relation(spark: SparkSession, gates: Iterable[Gate]) -> DataFrame:
+    """The matrices of some gates as one relation; the key holds the parameters, so equal names with other angles stay apart."""
+    rows, seen = [], set()
+    for g in gates:
+        key = matrix_key(g)
+        if key not in seen:
+            seen.add(key)
+            rows += [(key, len(g.qubits), r, c, re, im) for r, c, re, im in G.rows_of(g.name, g.params)]
+    return spark.createDataFrame(rows, GATE_MATRIX)
+
+
+def matrix_key(gate: Gate) -> str:
+    """Name and parameters of a gate, the key of its matrix."""
+    shown = ",".join(f"{k}={np.asarray(v).tolist()}" for k, v in sorted(gate.params.items()))
+    return f"{G.canonical(gate.name)}({shown})"
+
+
 def permute_state(state: DataFrame, log_to_phys: list[int]) -> DataFrame:
     """Move bit ``log_to_phys[q]`` of the index to bit q."""
     return state.select(B.permute(F.col("idx"), log_to_phys).alias("idx"), "real", "imag")

@@ -208,6 +208,40 @@ def write_parts(circuit: Circuit, part_of: list[int]) -> str:
     return "\n".join(out) + "\n"
 
 
+# fixed values: method names of a public C++ simulator's interface
+_CALLS = {
+    "X": "ApplyPauliX", "Y": "ApplyPauliY", "Z": "ApplyPauliZ", "H": "ApplyHadamard", "RX": "ApplyRotationX", "RY": "ApplyRotationY", "RZ": "ApplyRotationZ",
+    "CX": "ApplyCPauliX", "CY": "ApplyCPauliY", "CZ": "ApplyCPauliZ", "SWAP": "ApplySwap", "CCX": "ApplyToffoli",
+}
+
+
+def write_calls(circuit: Circuit, target: str = "psi") -> str:
+    """The circuit as C++ calls on a register object; gates without a method of their own become 2x2 matrices (custom or controlled custom)."""
+    lines = []
+    for g in circuit.gates:
+        name = G.canonical(g.name)
+        if name in _CALLS:
+            args = [*map(str, g.qubits), *(repr(float(g.params[p])) for p in G.SPECS[name].params)]
+            lines.append(f"{target}.{_CALLS[name]}({','.join(args)});")
+            continue
+        controls, targets, u = g.parts()
+        if len(targets) != 1 or len(controls) > 1:
+            raise CircuitError(f"{name} has no call")
+        lines.append(f"TM2x2<ComplexDP> G{g.seq};")
+        lines += [f"G{g.seq}({r},{c}) = {{{float(u[r, c].real)!r}, {float(u[r, c].imag)!r}}};" for r in range(2) for c in range(2)]
+        lines.append(f"{target}.Apply1QubitGate({targets[0]},G{g.seq});" if not controls else f"{target}.ApplyControlled1QubitGate({controls[0]},{targets[0]},G{g.seq});")
+    return "\n".join(lines) + "\n"
+
+
+def listing(circuit: Circuit) -> str:
+    """A plain listing: qubit count, then gate, parameters and qubits."""
+    lines = [f"qubits {circuit.n}"]
+    for g in circuit.gates:
+        shown = " ".join(f"{k}={v}" for k, v in sorted(g.params.items()) if k != "U")
+        lines.append(f"{g.seq} {g.name} [{shown}] {' '.join(map(str, g.qubits))}")
+    return "\n".join(lines) + "\n"
+
+
 def parts_rows(circuit: Circuit, part_of: list[int]) -> list[tuple[int, str, int]]:
     """Rows (order_id, gate_name, part) of a parts file."""
     return [(g.seq, g.name.lower(), part_of[g.seq]) for g in circuit.gates]

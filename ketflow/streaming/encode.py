@@ -1,7 +1,6 @@
 """Streams of rows into states.
 
-The reference engine has no streams; what carries over is that encoding is an aggregate
-and that diagonal and permutation gates are projections.  Both run on a stream as they
+Encoding is an aggregate, and diagonal and permutation gates are projections.  Both run on a stream as they
 are, so a state can be kept up to date while rows arrive.
 """
 

@@ -47,6 +47,16 @@ def test_forms_agree(spark):
     assert versions.filter("version = 0").count() == 1
 
 
+def test_matrix_relation_keeps_parameters_apart(spark):
+    c = C.of(2, [("RY", (0,), {"theta": 0.3}), ("RY", (1,), {"theta": 1.1}), ("RY", (0,), {"theta": 0.3})])
+    m = A.matrix_relation(spark, c.gates).cache()
+    assert m.select("gate_name").distinct().count() == 2
+    state = A.initial_state(spark)
+    for g in c.gates:
+        state = A.apply_matrix_join(state, m.filter(m.gate_name == A.matrix_key(g)), g.qubits)
+    assert np.abs(dense(state, 2) - simulate(c)).max() < 1e-12
+
+
 def test_controlled_general_gate_keeps_other_rows(spark):
     c = C.of(3, [("H", (0,), {}), ("H", (1,), {}), ("CU", (0, 2), {"U": G.matrix("RY", {"theta": 0.9}), "exponent": 3})])
     assert np.abs(dense(Session(spark, Config(fusion=False)).run(c).state, 3) - simulate(c)).max() < 1e-12

@@ -104,6 +104,15 @@ def test_qasm(spark):
             qasm.read(bad)
 
 
+def test_other_texts():
+    c = C.of(3, [("H", (0,), {}), ("RX", (1,), {"theta": 0.5}), ("CX", (0, 1), {}), ("T", (2,), {}), ("CR", (0, 2), {"k": 2})])
+    text = qasm.write_calls(c)
+    assert "psi.ApplyHadamard(0);" in text and "psi.ApplyRotationX(1,0.5);" in text and "psi.ApplyControlled1QubitGate(0,2,G4);" in text
+    assert len(qasm.listing(c).splitlines()) == 6
+    with pytest.raises(C.CircuitError):
+        qasm.write_calls(C.of(3, [("RXX", (0, 1), {"theta": 1})]))
+
+
 def test_parts_and_dot(spark, tmp_path):
     c = gen.qft(3)
     part = C.partition(c, 2)
