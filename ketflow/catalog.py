@@ -148,6 +148,11 @@ CIRCUITS = {
     "cluster": gen.cluster(6),
     "ring": gen.cluster(6, ring=True),
     "deutsch_jozsa": gen.deutsch_jozsa(7),
+    "grover": gen.grover(3, 5, 2),
+    "qaoa": gen.qaoa_ring(5, [(0.4, 0.7)]),
+    "real_amplitudes": gen.real_amplitudes(4, 2),
+    "ising": gen.ising(5, 2),
+    "adder": gen.adder(2, 3, 2),
     "bernstein_vazirani": gen.bernstein_vazirani("10110"),
 }
 

@@ -15,7 +15,6 @@ by (hi, lo) need no further exchange.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,7 +114,8 @@ def _monomial(idx: Column, op: Op) -> tuple[Column, Column, Column]:
     if op.controls:
         on = B.all_set(idx, op.controls)
         flip = F.when(on, flip).otherwise(B.long_lit(0))
-        out_re, out_im = F.when(on, out_re).otherwise(re), F.when(on, out_im).otherwise(im)
+        if any(x is not None for x in new_re):
+            out_re, out_im = F.when(on, out_re).otherwise(re), F.when(on, out_im).otherwise(im)
     return idx.bitwiseXOR(flip), out_re, out_im
 
 
@@ -139,13 +139,30 @@ def _branches(idx: Column, lo: Column, op: Op) -> Column:
     return out
 
 
+#: Projections in a row before a fence.
+_FENCE = 5
+
+
+def fence(df: DataFrame, keep: list[str], made: list[str]) -> DataFrame:
+    """The same rows behind a one-element explode, which the optimiser does not move filters through.
+
+    A filter on an amplitude would else be pushed below a chain of projections by putting
+    each into the next, which doubles the expression at every step.  ``keep`` stays what it
+    is, so a distribution by it stays known.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*made))))
+
+
 def run_stage(df: DataFrame, stage: Stage, epsilon: float = EPSILON) -> DataFrame:
     """Operators of one stage over (hi, lo, real, imag)."""
     ops = list(stage.ops)
-    k = 0
+    k = chain = 0
     while k < len(ops):
         op = ops[k]
         kind = op.kind
+        chain = 0 if kind == "G" else chain + 1
+        if chain > _FENCE:
+            df, chain = fence(df, ["hi"], ["lo", "real", "imag"]), 1
         idx = F.col("hi").bitwiseOR(F.col("lo"))
         if kind == "D":
             end = k
@@ -201,7 +218,13 @@ def apply_gate(state: DataFrame, gate: Gate) -> DataFrame:
 
 def apply_gates(state: DataFrame, gates: Iterable[Gate]) -> DataFrame:
     """Gates in order, lazily."""
-    return reduce(apply_gate, gates, state)
+    chain = 0
+    for g in gates:
+        chain = 0 if lower(g).kind == "G" else chain + 1
+        if chain > _FENCE:
+            state, chain = fence(state, [], ["idx", "real", "imag"]), 1
+        state = apply_gate(state, g)
+    return state
 
 
 def apply_one_qubit(state: DataFrame, u: np.ndarray, q: int) -> DataFrame:

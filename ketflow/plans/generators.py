@@ -136,6 +136,65 @@ def bernstein_vazirani(secret: str) -> Circuit:
     return of(n + 1, gates + [("H", (q,), {}) for q in range(n)])
 
 
+def grover(n: int, marked: int, rounds: int = 1) -> Circuit:
+    """Search for one index among 2^n, n from 2 to 5."""
+    flip = {2: "CZ", 3: "CCZ"}.get(n)
+
+    def phase() -> list:
+        if flip:
+            return [(flip, tuple(range(n)), {})]
+        return [("H", (n - 1,), {}), (f"C{n - 1}X", tuple(range(n)), {}), ("H", (n - 1,), {})]
+
+    gates = [("H", (q,), {}) for q in range(n)]
+    for _ in range(rounds):
+        zeros = [("X", (q,), {}) for q in range(n) if not marked >> q & 1]
+        gates += [*zeros, *phase(), *zeros]
+        around = [(g, (q,), {}) for g in ("H", "X") for q in range(n)]
+        gates += [*around, *phase(), *around[::-1]]
+    return of(n, gates)
+
+
+def qaoa_ring(n: int, angles: list[tuple[float, float]]) -> Circuit:
+    """Cost (RZZ on a ring) and mixer (RX) layers, one a pair of angles."""
+    gates = [("H", (q,), {}) for q in range(n)]
+    for gamma, beta in angles:
+        gates += [("RZZ", (q, (q + 1) % n), {"theta": 2 * gamma}) for q in range(n)]
+        gates += [("RX", (q,), {"theta": 2 * beta}) for q in range(n)]
+    return of(n, gates)
+
+
+def real_amplitudes(n: int, layers: int, seed: int = 0) -> Circuit:
+    """RY layers with CX chains between, as variational circuits use."""
+    rng = random.Random(seed)
+    turn = lambda: [("RY", (q,), {"theta": rng.uniform(-3, 3)}) for q in range(n)]
+    gates = turn()
+    for _ in range(layers):
+        gates += [("CX", (q, q + 1), {}) for q in range(n - 1)] + turn()
+    return of(n, gates)
+
+
+def ising(n: int, steps: int, dt: float = 0.2) -> Circuit:
+    """Trotter steps of the transverse-field chain."""
+    gates = []
+    for _ in range(steps):
+        gates += [("RZZ", (q, q + 1), {"theta": 2 * dt}) for q in range(n - 1)] + [("RX", (q,), {"theta": 2 * dt}) for q in range(n)]
+    return of(n, gates)
+
+
+def adder(n: int, a: int, b: int) -> Circuit:
+    """Ripple-carry sum of two n-bit numbers: carry, then b and a bit by bit, then the last carry; b holds the sum."""
+    bq = lambda i: 1 + 2 * i
+    aq = lambda i: 2 + 2 * i
+    gates = [("X", (aq(i),), {}) for i in range(n) if a >> i & 1] + [("X", (bq(i),), {}) for i in range(n) if b >> i & 1]
+    carry = [0, *(aq(i) for i in range(n))]
+    for i in range(n):
+        gates += [("CX", (aq(i), bq(i)), {}), ("CX", (aq(i), carry[i]), {}), ("CCX", (carry[i], bq(i), aq(i)), {})]
+    gates.append(("CX", (aq(n - 1), 2 * n + 1), {}))
+    for i in reversed(range(n)):
+        gates += [("CCX", (carry[i], bq(i), aq(i)), {}), ("CX", (aq(i), carry[i]), {}), ("CX", (carry[i], bq(i)), {})]
+    return of(2 * n + 2, gates)
+
+
 def graph_state(n: int) -> Circuit:
     return cluster(n, ring=True)
 

@@ -96,3 +96,12 @@ def test_circuit_relation(spark):
     c = gen.w(4)
     back = C.from_frame(C.to_frame(spark, c), 4)
     assert np.allclose(simulate(back), simulate(c)) and len(back.gates) == len(c.gates)
+
+
+def test_filters_do_not_blow_up_long_chains_of_projections(spark):
+    c = gen.adder(3, 5, 6)
+    c = C.of(c.n, [(g.name, g.qubits, g.params) for g in c.gates] + [("CY", (0, 1), {}), ("CZ", (0, 1), {})] * 6)
+    got = A.prune(A.apply_gates(A.initial_state(spark), c.gates))
+    staged = A.prune(Session(spark).run(c).state)
+    want = simulate(c)
+    assert np.abs(dense(got, c.n) - want).max() < 1e-12 and np.abs(dense(staged, c.n) - want).max() < 1e-12

@@ -78,6 +78,12 @@ def test_generators():
     assert np.allclose(simulate(gen.ghz(4))[[0, 15]], 1 / np.sqrt(2))
     assert np.allclose(simulate(gen.qft(4)), 0.25)
     assert len(gen.ghz_alternating(4, 10).gates) == 10
+    assert abs(simulate(gen.grover(3, 5, 2))[5]) ** 2 > 0.9 and abs(simulate(gen.grover(4, 9, 3))[9]) ** 2 > 0.9
+    assert np.isclose(np.linalg.norm(simulate(gen.qaoa_ring(4, [(0.3, 0.2), (0.1, 0.5)]))), 1)
+    for a in range(4):
+        for b in range(4):
+            at = int(np.argmax(np.abs(simulate(gen.adder(2, a, b)))))
+            assert sum((at >> 1 + 2 * i & 1) << i for i in range(2)) + 4 * (at >> 5 & 1) == a + b
     v = np.abs(simulate(gen.bernstein_vazirani("1011"))) ** 2
     assert np.isclose(v[0b1011] + v[0b11011], 1)
 
