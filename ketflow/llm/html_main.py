@@ -256,3 +256,16 @@ def extract_pages(pages: DataFrame, html_col: str = "html", out: str = "text") -
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[f"c{i}" for i in range(b.num_columns + 1)])
 
     return map_arrow(pages, run, schema)
+
+
+def oracle() -> str:
+    """DuckDB SQL for pages of one known template (an ``article`` of h1 and p blocks, as in the tables here).
+
+    Not a general extractor: regular expressions cannot score a tree.
+    """
+    blocks = "list_filter(list_transform(regexp_split_to_array(regexp_replace(body, '</?b>', '', 'g'), '</?(p|h1)>'), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))), lambda x: x <> '')"
+    return f"""
+    WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|<footer|$)', 1) AS body FROM pages),
+    b AS (SELECT page_id, url, array_to_string({blocks}, chr(10)) AS raw FROM a),
+    t AS (SELECT page_id, url, coalesce(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '') AS text FROM b)
+    SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t"""

@@ -92,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_chat_formatting": chat.oracle(),
+        "op6_html_extraction": html_main.oracle(),
         "op8_lm_scoring": lm.oracle(),
         "op9_benchmark_decontamination": decontam.oracle(),
         "op10_quality_rules": quality.oracle(),
