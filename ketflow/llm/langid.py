@@ -37,8 +37,10 @@ ROUNDS = 3
 MAX_PIECE = 10
 UNKNOWN = 1e-7
 SMOOTH = 0.1
-CACHE = 300_000
+CACHE = 200_000
 CHUNK = 20_000
+#: Signs of a piece that are looked up everywhere; longer pieces only where their head occurs.
+_HEAD = 4
 _WORD = re.compile(r"[^\W\d_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,11 +67,18 @@ class Lattice:
             if not of:
                 self.tables.append(None)
                 continue
-            codes = np.array([[ord(c) for c in p] for _, p in of], np.uint64)
-            h = np.zeros(len(of), np.uint64)
-            for k in range(size):
-                h = h * _MULT + codes[:, k] + np.uint64(1)
-            self.tables.append(self._table(h, [i for i, _ in of]))
+            self.tables.append(self._table(self._hash([p for _, p in of]), [i for i, _ in of]))
+        heads = np.unique(self._hash([p[:_HEAD] for p in words if len(p) > _HEAD]))
+        self.heads = self._table(heads, list(range(len(heads))))
+
+    @staticmethod
+    def _hash(same_size: list[str]) -> np.ndarray:
+        """Rolling hash of strings of one length."""
+        codes = np.array([[ord(c) for c in p] for p in same_size], np.uint64).reshape(len(same_size), -1)
+        h = np.zeros(len(codes), np.uint64)
+        for k in range(codes.shape[1]):
+            h = h * _MULT + codes[:, k] + np.uint64(1)
+        return h
 
     @staticmethod
     def _table(h: np.ndarray, ids: list[int]) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -109,17 +118,30 @@ class Lattice:
         left = np.repeat(starts + lengths, lengths) - np.arange(len(signs))
         h = np.zeros(len(signs), np.uint64)
         out = []
+        at = None  # beyond _HEAD signs, only where a longer piece begins like that
         for size in range(1, self.longest + 1):
             n = len(signs) - size + 1
             if n <= 0:
                 break
-            h = h[:n] * _MULT + signs[size - 1 :] + np.uint64(1)
-            ids = np.full(len(signs), -1, np.int64)
             t = self.tables[size - 1]
-            if t is not None:
-                ids[:n] = np.where(left[:n] >= size, self._look(t, h), -1)
-            if size == 1:
-                ids[ids < 0] = self.n
+            ids = np.full(len(signs), -1, np.int32)
+            if size <= _HEAD:
+                h = h[:n] * _MULT + signs[size - 1 :] + np.uint64(1)
+                if t is not None:
+                    ids[:n] = np.where(left[:n] >= size, self._look(t, h), -1)
+                if size == 1:
+                    ids[ids < 0] = self.n
+                if size == _HEAD:
+                    at = np.flatnonzero((left[:n] > size) & (self._look(self.heads, h) >= 0))
+                    h = h[at]
+            else:
+                fits = left[at] >= size
+                at, h = at[fits], h[fits]
+                if not len(at):
+                    break
+                h = h * _MULT + signs[at + size - 1] + np.uint64(1)
+                if t is not None:
+                    ids[at] = self._look(t, h)
             out.append(ids)
         return starts, lengths, out
 

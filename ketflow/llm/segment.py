@@ -43,7 +43,7 @@ ZIPF = 10.0
 #: Scores are kept as whole millionths, so that sums are exact.
 UNIT = 1_000_000
 _NEVER = -(1 << 60)
-CACHE = 400_000
+CACHE = 300_000
 CELLS = 1_500_000
 _MARK = pieces.SPACE
 #: Stands for a literal word mark inside the lattice; no piece has it.
