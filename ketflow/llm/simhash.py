@@ -13,18 +13,20 @@ has no bound for a broadcast.
 ``classes`` links at ``radius`` or fewer of 64 bits.  With ``radius + 1`` blocks two
 such fingerprints agree on a block, so no link is lost.
 
-``keep_one`` is the filter for corpora: near-duplicates by the similarity of their
-shingle sets.  It uses fingerprints of ``words`` x 64 bits, whose Hamming distance
-estimates the angle of the shingle counts closely; a Jaccard similarity of 0.8 is a
-cosine of 2J / (1 + J) = 0.89.  Blocks of 16 bits find a pair of similarity 0.8, 0.85
-and 0.9 with odds of about 0.83, 0.94 and 0.99.
+``keep_one`` is the filter for corpora: near-duplicates by the exact Jaccard similarity
+of their sets of distinct shingles, without fingerprints.  Candidates come from an exact
+prefix filter: of a set's shingles, rarest first, only so many are looked up that two
+sets similar enough must meet in one.  The order is by hashed counters of frequency, so
+that common lines come last; any order finds all pairs.  Candidates' components are then
+tested pair by pair, and only pairs that are similar enough are linked.
 
 A shard returns the spanning stars of its local components, never all pairs: a few
 leaders first gather the members near to them, and only members outside the largest
 component are then looked up in the tree, since a link has two ends.
 ``graph.components`` joins the stars of all shards.
 
-Edge cases: null and blank texts have fingerprint zero and are linked like any other;
+Edge cases: null and blank texts have fingerprint zero and are linked like any other (for
+``keep_one`` their empty sets are equal);
 repeated rows get the same answer each (``keep_one`` keeps one of them); a null doc_id
 never names a component unless it is alone; an empty table gives no rows; extra
 columns are not read by ``classes`` and pass through ``keep_one``.
@@ -49,6 +51,12 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _VOTE_ROWS = 255 * 64
 #: Leaders tried in a shard before its tree is asked.
 _LEADERS = 16
+#: Counters of shingle frequencies, and the rows they are summed in.
+_COUNTERS, _SLICES = 1 << 20, 64
+#: Most rows of a prefix shingle that are compared in pairs before the exact test.
+_ALL_PAIRS = 32
+#: Most texts of a component in one task, or in each half of one.
+_TILE = 128
 
 
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
@@ -247,32 +255,217 @@ def classes(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str = "doc_
     return rows.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
-def radius_of(similarity: float, bits: int) -> int:
-    """Hamming radius that a Jaccard similarity of equally large shingle sets stands for."""
-    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text."""
+    return np.unique(shingle_hashes(text, size))
 
 
-def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _least_overlap(n: int, similarity: float) -> int:
+    """Fewest shingles that a set of n shares with any set at least so similar."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def frequencies(docs: DataFrame, size: int = 5, text_col: str = "text") -> np.ndarray:
+    """How many rows have a shingle of each of ``_COUNTERS`` hash classes (4 MB, whatever the corpus)."""
+    per = _COUNTERS // _SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_COUNTERS, np.uint32)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                total[shingle_set(t, size) & np.uint64(_COUNTERS - 1)] += np.uint32(1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([total[k * per : (k + 1) * per].tobytes() for k in range(_SLICES)], pa.binary())], names=["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(x, np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    out = np.zeros(_COUNTERS, np.uint32)
+    parts = map_arrow(docs.select(columns_of(docs)[docs.columns.index(text_col)].cast("binary")), count, schema)
+    for r in map_arrow(parts.repartition("slice"), add, schema).collect():
+        out[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(r["counts"], np.uint32)
+    return out
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles of a set: two sets at least so similar have one of them in common."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    order = np.lexsort((shingles, counts[shingles & np.uint64(_COUNTERS - 1)]))
+    return shingles[order[: n - _least_overlap(n, similarity) + 1]]
+
+
+def _bucket_pairs(node: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the rows of one prefix shingle, of ``n`` shingles each, of which it is number ``at``.
+
+    All pairs that can still be similar enough; in large buckets, chains of neighbours
+    by size, broken where sizes are too far apart, which connect all those pairs.
+    """
+    if len(node) > _ALL_PAIRS:
+        o = np.argsort(n, kind="stable")
+        near = n[o[:-1]] >= similarity * n[o[1:]] - 1e-9
+        return node[o[:-1]][near], node[o[1:]][near]
+    i, j = np.triu_indices(len(node), 1)
+    overlap = np.minimum(n[i] - at[i], n[j] - at[j])
+    ok = overlap >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9
+    return node[i][ok], node[j][ok]
+
+
+def candidates(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect, among others, all pairs of sets with a similarity of at least ``similarity``.
+
+    ``sets`` has columns node (long, unique), n (size of the set) and prefix (its rarest
+    shingles, as 64-bit words).  Exact: sets that share no prefix shingle are less similar.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                c = b.slice(lo, 500)
+                keys = [np.frombuffer(x, np.int64) for x in c.column(2).to_pylist()]
+                if not keys:
+                    continue
+                lengths = np.array([len(k) for k in keys])
+                at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                sizes = np.repeat(c.column(1).to_numpy().astype(np.int64), lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(c.column(0).to_numpy(), lengths)), pa.array(sizes << 32 | at)], names=["key", "node", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.empty((3, 0), np.int64)]
+
+        def answer(rows: np.ndarray) -> pa.RecordBatch:
+            cuts = np.flatnonzero(np.diff(rows[0])) + 1
+            lo, hi = np.r_[0, cuts], np.r_[cuts, rows.shape[1]]
+            n, at = rows[2] >> 32, rows[2] & 0xFFFFFFFF
+            found = [_bucket_pairs(rows[1, x:y], n[x:y], at[x:y], similarity) for x, y in zip(lo.tolist(), hi.tolist(), strict=True) if y - x > 1]
+            pairs = np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)], axis=1) if found else np.empty((0, 2), np.int64)
+            return _pairs(np.unique(np.sort(pairs, axis=1), axis=0))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.stack([b.column(k).to_numpy() for k in range(3)])
+            last = int(np.searchsorted(rows[0], rows[0, -1]))  # the last key may go on in the next batch
+            if last or held[0].shape[1] and held[0][0, 0] != rows[0, 0]:
+                yield answer(np.concatenate([*held, rows[:, :last]], axis=1))
+                held = [rows[:, last:]]
+            else:
+                held.append(rows)
+        if held[-1].shape[1]:
+            yield answer(np.concatenate(held, axis=1))
+
+    rows = map_arrow(sets.select("node", "n", "prefix"), spread, "key bigint, node bigint, place bigint")
+    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), run, "a bigint, b bigint").distinct()
+
+
+def _similar(nodes: list[int], sets: list[np.ndarray], side: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Spanning edges of the pairs with an exact Jaccard similarity of ``similarity`` or more: across sides 0 and 1, or all if there is one side."""
+    sizes = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    across = len(set(side)) > 1
+    left = [i for i, x in enumerate(side) if not across or x == 0]
+    mine = np.array(side) == 1
+    mark = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
+    root = list(range(len(nodes)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i in left:
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[codes], starts)
+        mark[own] = 0
+        near = shared >= similarity * (sizes + sizes[i] - shared) - 1e-9
+        near = near & mine if across else near
+        for j in np.flatnonzero(near).tolist():
+            if (x := find(i)) != (y := find(j)):
+                root[max(x, y)] = min(x, y)
+                out.append((nodes[i], nodes[j]))
+    return out
+
+
+def verified(edges: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect the pairs of at least ``similarity`` inside the components of ``edges``; every edge is an exact one.
+
+    ``texts`` has columns node and text (binary).  A component's texts meet in one task as
+    shingle sets; one of over ``_TILE`` texts is cut into chunks, and each two chunks meet.
+    """
+    label = materialize(components(edges))
+    large = label.groupBy("label").count().filter(F.col("count") > _TILE).select("label", F.ceil(F.col("count") / _TILE).cast("int").alias("k"))
+    rows = texts.join(label, "node").join(F.broadcast(large), "label", "left")
+
+    def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                c = b.slice(lo, 200)
+                sets = pa.array([shingle_set(t, size).tobytes() for t in c.column(3).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*c.columns[:3], sets], names=["label", "node", "k", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+
+        def answer() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            nodes, sides, sets = zip(*held, strict=True)
+            return _similar(list(nodes), list(sets), list(sides), similarity)
+
+        for b in batches:
+            out = []
+            for label, u, v, node, side, x in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if (label, u, v) != key:
+                    out += answer()
+                    held, key = [], (label, u, v)
+                held.append((node, side, np.frombuffer(x, np.uint64)))
+            yield _pairs(out)
+        yield _pairs(answer())
+
+    sets = map_arrow(rows.select("label", "node", F.coalesce("k", F.lit(1)).alias("k"), "text"), to_set, "label bigint, node bigint, k int, shingles binary")
+    sets = sets.withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    sets = sets.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    tiles = sets.select("label", F.least("c", "d").alias("u"), F.greatest("c", "d").alias("v"), "node", (F.col("c") > F.col("d")).cast("int").alias("side"), "shingles")
+    keys = ["label", "u", "v"]
+    return map_arrow(tiles.repartition(*keys).sortWithinPartitions(*keys), run, "a bigint, b bigint").distinct()
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one for each group of near-duplicates: the one of least id.
 
-    Groups are the components of links of at least ``similarity`` between ``size``-word
-    shingles.  The rows are written once with a row number and their fingerprint, and
-    filtered by a join on the row number, which has no skew.
+    Groups are the components of the pairs whose sets of distinct ``size``-word shingles
+    have a Jaccard similarity of at least ``similarity``.  The rows are written once with
+    a row number and a digest of their set, so that equal sets are one node, and filtered
+    by a join on the row number, which has no skew.
     """
-    names = [f"w{k}" for k in range(words)]
-    own = [f"__fp{k}" for k in range(words)]
+    own = {"__d0": "bigint", "__d1": "bigint", "__n": "int", "__prefix": "binary"}
     at = docs.columns.index(text_col)
-    _, schema = extended(docs, **dict.fromkeys(own, "bigint"))
+    _, schema = extended(docs, **own)
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
         for b in batches:
-            fps = np.array([fingerprint(None if t is None else t.encode(), size, words) for t in b.column(at).to_pylist()], np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(fps[:, k]) for k in range(words))], names=[f"c{i}" for i in range(b.num_columns + words)])
+            sets = [shingle_set(None if t is None else t.encode(), size) for t in b.column(at).to_pylist()]
+            digests = np.array([divmod(xxhash.xxh3_128_intdigest(x.tobytes(), SEED), 2**64) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            new = [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(x) for x in sets], pa.int32()), pa.array([prefix(x, counts, similarity).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[f"c{i}" for i in range(b.num_columns + len(new))])
 
     rows = materialize(map_arrow(docs, run, schema).withColumn("__rid", F.monotonically_increasing_id()))
-    distinct = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(own, names, strict=True)]).agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__rid").alias("rid"))).alias("best"))
-    distinct = materialize(distinct.select(F.col("best.rid").alias("node"), "best", *names))
-    label = components(links(distinct.select("node", *names), radius_of(similarity, 64 * words), words, 4 * words))
+    best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__rid").alias("rid"))).alias("best")
+    distinct = materialize(rows.groupBy("__d0", "__d1").agg(best, F.first("__n").alias("n"), F.first("__prefix").alias("prefix")).select(F.col("best.rid").alias("node"), "best", "n", "prefix"))
+    texts = rows.select(F.col("__rid").alias("node"), rows[docs.columns[at]].cast("binary").alias("text"))
+    label = components(verified(candidates(distinct, similarity), texts, size, similarity))
     named = distinct.select("node", "best").join(label, "node", "left").select("best", F.coalesce("label", "node").alias("label"))
     kept = named.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("__rid"))
     return rows.join(kept, "__rid", "left_semi").select(*columns_of(docs))

@@ -93,3 +93,9 @@ def test_keep_one(spark):
     assert kept.columns == messy.documents(spark, data).columns
     assert sorted(r.doc_id for r in kept.collect()) == [3, 6, 7]
     assert S.keep_one(messy.empty(spark)).count() == 0
+
+
+def test_keep_one_keeps_unlike_texts_that_share_a_repeated_line(spark):
+    line = " ".join(f"common{k}" for k in range(10))
+    data = [(i, " ".join([*(f"own{i}x{k}" for k in range(1000)), *[line] * 50])) for i in range(6)]
+    assert sorted(r.doc_id for r in S.keep_one(messy.documents(spark, data)).collect()) == list(range(6))
