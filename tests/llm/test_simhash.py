@@ -99,3 +99,32 @@ def test_keep_one_keeps_unlike_texts_that_share_a_repeated_line(spark):
     line = " ".join(f"common{k}" for k in range(10))
     data = [(i, " ".join([*(f"own{i}x{k}" for k in range(1000)), *[line] * 50])) for i in range(6)]
     assert sorted(r.doc_id for r in S.keep_one(messy.documents(spark, data)).collect()) == list(range(6))
+
+
+def test_keep_one_equals_brute_force_near_the_limit_and_in_a_large_group(spark):
+    r = random.Random(11)
+    data = []
+    for k in range(60):  # 96 shingles, of which 10 or 11 are lost: similarity 86/106 = 0.811 or 85/107 = 0.794
+        words = [f"w{k}x{i}" for i in range(100)]
+        data += [(3 * k, " ".join(words)), (3 * k + 1, " ".join([*words[:90], *(f"y{k}x{i}" for i in range(10))])), (3 * k + 2, " ".join([*(f"z{k}x{i}" for i in range(11)), *words[11:]]))]
+    for k in range(300):  # more than a tile, most of its pairs less similar than 0.8
+        words = [f"g{i}" for i in range(150)]
+        for i in r.sample(range(150), r.randint(1, 8)):
+            words[i] = f"e{k}x{i}"
+        data.append((1000 + k, " ".join(words)))
+    sets = [set(S.shingle_hashes(t.encode(), 5).tolist()) for _, t in data]
+    root = list(range(len(data)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(data)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = [data[a][0] for a in range(len(data)) if find(a) == a]
+    assert sum(i < 1000 for i in want) == 120 and 1 < sum(i >= 1000 for i in want) < 299
+    assert sorted(x.doc_id for x in S.keep_one(messy.documents(spark, data)).collect()) == want
