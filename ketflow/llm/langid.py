@@ -5,17 +5,28 @@ likelihood of a word is the sum over all its segmentations into pieces, computed
 forward recursion, and that of a text is the product over its words; the score is the
 posterior of the best language under equal priors.
 
+All pieces of the vocabulary take part, up to its longest.  (Pieces with a word mark
+after another sign or with signs that are no letters are in no word's lattice.)
+
 Training runs expectation-maximisation: forward-backward over the words of a bounded
-sample, ``SAMPLE`` texts a language in expectation, chosen by hash.  Each round is one
-Spark pass that returns expected counts, at most vocabulary x languages numbers.  The
-recursion runs over all distinct words of a batch at once in numpy, and a bounded
-cache holds the likelihoods of words met before.  Scoring is one pass over all whole
-texts without a shuffle.
-
-Edge cases: null texts and texts without a letter get ``und`` and score 0; rows
-without a language are scored but not learnt from; with no learnable row every text is
-``und``; ties go to the first language by name; repeated rows get the same answer
-each; an empty table gives no rows; extra columns pass through ``predict``.
+sample, ``SAMPLE`` texts a language in expectation, chosen by hash and written once.
+Each round is one pass over the sample that returns expected counts, at most
+vocabulary x languages numbers.  Training takes a word of over ``RUN`` signs as several
+words of that many; scoring never cuts a word.  The recursion runs over all distinct
+words of a batch at once in numpy, and a bounded cache holds the likelihoods of words
+met before.  Scoring is one pass over all whole texts without a shuffle.
+
+The posterior only compares the learnt languages, so it tells nothing about a text that
+fits none of them.  For that a model also knows the mean log likelihood a sign of each
+language's own sample; a text that falls below ``FLOOR`` times that of its best language
+is not ``known`` (on the tables here texts reach 2.4 times, random letters 4 to 5 times).
+
+Edge cases: null texts and texts without a letter get ``und``, score 0 and are not known;
+rows without a language are scored but not learnt from; with no learnable row every text
+is ``und``; ties go to the first language by name; repeated rows get the same answer
+each; texts of any length are read whole, a long one costs memory in proportion; an empty
+table gives no rows; extra columns pass through ``predict``, but for those that bear the
+name of an output, which are replaced.
 """
 
 from __future__ import annotations
@@ -30,11 +41,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ketflow.llm import pieces
-from ketflow.llm.common import crc32_mod, extended, map_arrow
+from ketflow.llm.common import crc32_mod, discard, extended, map_arrow, materialize
 
 SAMPLE = 2000
 ROUNDS = 3
-MAX_PIECE = 10
+#: Most signs of a word in training.
+RUN = 48
+#: Multiple of a language's mean log likelihood a sign below which a text does not fit it, and the fewest letters that tell.
+FLOOR, FEW_LETTERS = 3.0, 20
+#: Files of the written sample, for as many tasks in training.
+_FILES = 32
 UNKNOWN = 1e-7
 SMOOTH = 0.1
 CACHE = 200_000
@@ -57,12 +73,12 @@ def has_letter(text: str | None) -> bool:
 class Lattice:
     """Finds the vocabulary's pieces at every position of many words at once."""
 
-    def __init__(self, path: str | None = None, longest: int = MAX_PIECE, words: list[str] | None = None) -> None:
+    def __init__(self, path: str | None = None, words: list[str] | None = None) -> None:
         if words is None:
-            words = sorted(p for p in pieces.vocabulary(path) if len(p) <= longest and pieces.SPACE not in p[1:])
-        self.words, self.n, self.longest = words, len(words), longest
+            words = sorted(p for p in pieces.vocabulary(path) if pieces.SPACE not in p[1:])
+        self.words, self.n, self.longest = words, len(words), max(map(len, words), default=1)
         self.tables = []
-        for size in range(1, longest + 1):
+        for size in range(1, self.longest + 1):
             of = [(i, p) for i, p in enumerate(words) if len(p) == size]
             if not of:
                 self.tables.append(None)
@@ -156,7 +172,7 @@ def _sweep(lattice: Lattice, probs: np.ndarray, words: list[str], counts: np.nda
     starts, lengths = starts[order], lengths[order]
     n_lang, longest = probs.shape[1], int(lengths[0])
     keep = counts is not None
-    ring = longest + 1 if keep else MAX_PIECE + 1
+    ring = longest + 1 if keep else lattice.longest + 1
     alpha = np.zeros((ring, len(words), n_lang))
     alpha[0] = 1.0
     scale = np.zeros((len(words), n_lang))
@@ -206,14 +222,15 @@ def _sweep(lattice: Lattice, probs: np.ndarray, words: list[str], counts: np.nda
 class Model:
     """Languages and piece probabilities, with a bounded cache of word likelihoods."""
 
-    def __init__(self, languages: list[str], probs: np.ndarray, path: str | None = None) -> None:
+    def __init__(self, languages: list[str], probs: np.ndarray, path: str | None = None, floors: np.ndarray | None = None) -> None:
         self.languages, self.probs, self.path = languages, probs, path
+        self.floors = np.full(len(languages), -np.inf) if floors is None else floors
         self._lattice = None
         self._rows: dict[str, int] = {}
         self._logs = np.empty((0, len(languages)))
 
     def __getstate__(self) -> tuple:
-        return self.languages, self.probs, self.path
+        return self.languages, self.probs, self.path, self.floors
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
@@ -231,34 +248,57 @@ class Model:
         self._rows.update(zip(new, range(len(self._logs), len(self._logs) + len(new)), strict=True))
         self._logs = np.concatenate(got)
 
-    def log_likelihoods(self, texts: list[str | None]) -> np.ndarray:
-        """Log likelihood of each text by language."""
+    def log_likelihoods(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihood of each text by language, and the number of its letters."""
         words = [words_of(t) for t in texts]
         self._learn_words(words)
         get = self._rows.__getitem__
-        return np.array([self._logs[np.fromiter(map(get, w), np.int64, len(w))].sum(axis=0) for w in words]).reshape(len(texts), -1)
+        logs = np.array([self._logs[np.fromiter(map(get, w), np.int64, len(w))].sum(axis=0) for w in words]).reshape(len(texts), -1)
+        return logs, np.array([sum(map(len, w)) for w in words], np.int64)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """(language, posterior, whether the text fits that language at all) of each text."""
         if not self.languages:
-            return ["und"] * len(texts), [0.0] * len(texts)
-        names, scores = [], []
+            return ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
+        names, scores, known = [], [], []
         for at in range(0, len(texts), 512):
             part = texts[at : at + 512]
-            for t, l in zip(part, self.log_likelihoods(part), strict=True):
+            for t, l, n in zip(part, *self.log_likelihoods(part), strict=True):
                 if not has_letter(t):
                     names.append("und")
                     scores.append(0.0)
+                    known.append(False)
                     continue
                 k = int(np.argmax(l))
                 names.append(self.languages[k])
                 scores.append(float(1.0 / np.exp(l - l[k]).sum()))
-        return names, scores
+                known.append(bool(n < FEW_LETTERS or l[k] >= self.floors[k] * n))
+        return names, scores, known
 
 
-def _cut(word: str, most: int = 48) -> list[str]:
+def _runs(word: str, most: int = RUN) -> list[str]:
     return [word[i : i + most] for i in range(0, len(word), most)]
 
 
+def _floors(rows: DataFrame, model: Model) -> np.ndarray:
+    """Least log likelihood a sign that texts of each language may have, from rows (lang, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        at = {k: i for i, k in enumerate(m.languages)}
+        for b in batches:
+            logs, n = m.log_likelihoods(b.column(1).to_pylist())
+            own = np.array([at[k] for k in b.column(0).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(logs[np.arange(len(own)), own]), pa.array(n)], names=["k", "l", "n"])
+
+    out = np.full(len(model.languages), -np.inf)
+    for r in map_arrow(rows, run, "k bigint, l double, n bigint").groupBy("k").agg(F.sum("l").alias("l"), F.sum("n").alias("n")).collect():
+        if r.n:
+            out[r.k] = FLOOR * r.l / r.n
+    return out
+
+
 def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str | None = None) -> Model:
     """Fit the piece probabilities on about ``sample`` texts a language among the rows where ``learn`` holds."""
     lang, key = F.col(lang_col), F.col(id_col)
@@ -269,7 +309,7 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, ro
         return Model([], np.empty((0, 0)), path)
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample / totals[k]))])
     drawn = F.pmod(F.xxhash64(key, F.lit("langid")), F.lit(1 << 30)) < F.element_at(share, lang) * float(1 << 30)
-    rows = known.filter(drawn).select(lang.alias("lang"), F.col(text_col).alias("text"))
+    rows = materialize(known.filter(drawn).select(lang.alias("lang"), F.col(text_col).alias("text")).repartition(_FILES))
     size = Lattice(path).n
     probs = np.full((size + 1, len(languages)), 1.0 / size)
     probs[-1] = UNKNOWN
@@ -294,7 +334,7 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, ro
 
             for b in batches:
                 for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    held[k].update(x for w in words_of(t) for x in _cut(w))
+                    held[k].update(x for w in words_of(t) for x in _runs(w))
                     if sum(map(len, held.values())) > CACHE:
                         flush()
             flush()
@@ -306,19 +346,23 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, ro
         counts[got["piece"].to_numpy(), got["k"].to_numpy()] += got["n"].to_numpy()
         probs = counts / counts[:-1].sum(axis=0)
         probs[-1] = UNKNOWN
-    return Model(languages, probs, path)
+    model = Model(languages, probs, path)
+    model.floors = _floors(rows, model)
+    discard(rows)
+    return model
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "lang_pred", out_score: str = "score") -> DataFrame:
-    """All rows and columns of ``docs`` plus the predicted language and its posterior."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "lang_pred", out_score: str = "score", out_known: str | None = None) -> DataFrame:
+    """All rows and columns of ``docs`` plus the predicted language, its posterior and, if asked, whether the text fits it at all."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs, schema = extended(docs, **{out: "string", out_score: "double"})
+    docs, schema = extended(docs, **{out: "string", out_score: "double"}, **({out_known: "boolean"} if out_known else {}))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = shared.value.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[f"c{i}" for i in range(b.num_columns + 2)])
+            names, scores, known = shared.value.predict(b.column(at).to_pylist())
+            new = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())][: 3 if out_known else 2]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[f"c{i}" for i in range(b.num_columns + len(new))])
 
     return map_arrow(docs, run, schema)
 

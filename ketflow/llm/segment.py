@@ -69,7 +69,7 @@ class Codec:
             self.surface[i] = p.replace(_MARK, " ").encode()
         for b, i in enumerate(self.byte_ids):
             self.surface[i] = bytes([b])
-        self.lattice = Lattice(path, longest=self.longest, words=sorted(usable))
+        self.lattice = Lattice(path, sorted(usable))
         names = self.lattice.words
         self.piece_id = np.array([usable[p] for p in names], np.int32)
         self.piece_score = np.array([self.score[p] for p in names], np.int64)

@@ -27,7 +27,7 @@ def brute(word, lattice, probs):
     a = [np.zeros(probs.shape[1]) for _ in range(len(s) + 1)]
     a[0] += 1
     for j in range(1, len(s) + 1):
-        for size in range(1, min(j, L.MAX_PIECE) + 1):
+        for size in range(1, min(j, lattice.longest) + 1):
             i = at.get(s[j - size : j], len(lattice.words) if size == 1 else None)
             if i is not None:
                 a[j] = a[j] + a[j - size] * probs[i]
@@ -44,7 +44,7 @@ def tools():
 
 
 def test_forward_sums_all_segmentations(tools):
-    words = ["the", "schaftlich", "éeauoi", "日本語", "x", "", "a" * 40, "ﬀ"]
+    words = ["government", "the", "schaftlich", "éeauoi", "日本語", "x", "", "a" * 40, "ﬀ"]
     assert np.allclose(L._sweep(*tools, words), [brute(w, *tools) for w in words])
     assert np.isfinite(L._sweep(*tools, ["b" * 5000, "the"])).all()  # scaled, not zero
 
@@ -75,6 +75,35 @@ def test_held_out_accuracy_and_hard_cases(spark):
     assert L.predict(messy.empty(spark), model).count() == 0
 
 
+def test_all_pieces_of_the_vocabulary_take_part(tools):
+    lattice, probs = tools
+    usable = [p for p in pieces.vocabulary() if pieces.SPACE not in p[1:]]
+    assert lattice.n == len(usable) and lattice.longest == max(map(len, usable)) > 10
+    long = next(p[1:] for p in usable if len(p) == lattice.longest and p[0] == pieces.SPACE and p[1:].isalpha())
+    alone = probs.copy()
+    alone[: lattice.n] = 0
+    alone[lattice.words.index(pieces.SPACE + long)] = 1
+    assert np.allclose(L._sweep(lattice, alone, [long]), 0)  # the whole word as one piece
+
+
+def test_posterior_is_the_normalised_product_of_word_likelihoods(tools):
+    lattice, probs = tools
+    m = L.Model(["a", "b", "c"], probs)
+    for text in ("the government of the day", "x y", "Größe und 12 Wörter"):
+        logs = sum(brute(w, lattice, probs) for w in L.words_of(text))
+        name, score, _ = m.predict([text])
+        assert name == [m.languages[int(np.argmax(logs))]] and abs(score[0] - 1 / np.exp(logs - logs.max()).sum()) < 1e-9
+
+
+def test_texts_that_fit_no_language_are_not_known(spark):
+    rows = corpus()
+    model = L.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    r = random.Random(5)
+    junk = " ".join("".join(r.choice("qxzwvjkpyñþœ") for _ in range(8)) for _ in range(30))
+    known = model.predict([*(t for _, t, _ in rows), junk, "zz", None])[2]
+    assert all(known[: len(rows)]) and known[len(rows) :] == [False, True, False]
+
+
 def test_nothing_to_learn(spark):
     docs = messy.documents(spark)
     model = L.train(docs)
