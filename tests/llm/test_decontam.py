@@ -3,6 +3,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 
 from ketflow.llm import decontam as D
 from tests.llm import messy
@@ -40,8 +41,8 @@ def test_against_brute_force(spark):
     ]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = sorted((str(i), *brute(t, items)) for i, t in docs)
-    for block in (D.BLOCK_BYTES, 120):
-        found = D.matches(messy.documents(spark, docs).drop("found"), bench, block_bytes=block)
+    for block in (D.BLOCK_WORDS, 13):
+        found = D.matches(messy.documents(spark, docs).drop("found"), bench, block_words=block)
         got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in D.digest(found).collect())
         assert got == want
     assert D.matches(messy.documents(spark, docs), bench, out="__f").columns[-1] == "__f"
@@ -56,14 +57,37 @@ def test_empty_tables_and_long_texts(spark):
     assert not any(r.contaminated for r in none) and len(none) == len(messy.rows())
 
 
+def index_of(items, **k):
+    return D.Index(list(D.pieces_of(items, **k)))
+
+
 def test_prefix_is_the_rarest_shingle():
-    index = D.Index([("a", b"the of the of the rare of the of the")])
+    index = index_of([("a", b"the of the of the rare of the of the")])
     counts = index.counts.copy()
     for t in [b"the of the of the of the of the of"] * 5 + [b"the rare of"]:
         index.count(t, counts)
     index.choose_prefixes(counts)
-    (rank,) = index.prefix
-    assert counts[rank] <= counts.min()
+    (number,) = np.flatnonzero(np.diff(index.prefix_from))
+    assert counts[number] <= counts.min() and index.prefix_window.tolist() == [0]
+
+
+def test_a_long_item_is_cut_and_its_index_is_bounded():
+    words = [f"w{i % 70000}" for i in range(1_600_000)]  # about 10 MB
+    item = " ".join(words).encode()
+    pieces = list(D.pieces_of([("big", item)]))
+    assert len(pieces) == 7 and max(len(w) for _, w in pieces) <= D.BLOCK_WORDS
+    assert sum(len(w) - D.WINDOW + 1 for _, w in pieces) == len(words) - D.WINDOW + 1  # every window once
+    index = D.Index(pieces[:1])
+    assert index.nbytes <= 110 * D.BLOCK_WORDS
+    index.choose_prefixes(index.counts)
+    n, hit, items = index.match(" ".join(["x", *words[100:150], "y"]).encode())
+    assert (n, hit.sum(), items) == (52, 50, ["big"])
+
+
+def test_an_empty_block():
+    index = index_of([("a", None), ("b", b"...")])
+    index.choose_prefixes(index.counts)
+    assert index.match(b"some words")[0] == 2 and not index.match(b"some words")[1].any()
 
 
 def test_random_texts(spark):

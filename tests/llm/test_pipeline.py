@@ -22,7 +22,7 @@ def test_stages_filter_rows_and_keep_columns(spark):
     assert sizes[-1] > 0.5 * len(ids)
     texts = [ids[i] for i in kept]
     assert len(set(texts)) == len(texts)  # exact copies are gone
-    index = decontam.Index([(str(i), t.encode()) for i, t in duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()])
+    index = decontam.Index([(str(i), decontam.words_of(t.encode())) for i, t in duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()])
     index.choose_prefixes(index.counts)
     assert not any(index.match(t.encode())[2] for t in texts)
     last = P.STAGES[-1][1](spark, docs, SF)
