@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word rules: U+0020 and U+0009..U+000D.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: Whether a query's shuffle files go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +40,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage so that the result survives a lost executor and is not
-    computed again; columnar and compressed, unlike an RDD checkpoint.
+    computed again; columnar and compressed, unlike an RDD checkpoint.  The shuffle files
+    of the job are deleted when it has ended: nothing reads them any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/ketflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._ketflow_path = path
     return out

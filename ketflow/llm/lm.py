@@ -12,20 +12,25 @@ wire instead of a row of forty.  The steps:
 
 1. ``blocks``  documents -> one row a block: the hashes of its distinct words and its
    tokens; written to the shared folder.
-2. ``counts``  blocks -> slices (order, hash range, block) of distinct n-gram hashes with
-   their counts, shuffled by hash range; each range adds up its slices and answers every
-   slice with the corpus counts.
+2. ``counts``, for orders 1 and 2 and then for each order k above: blocks -> slices (order,
+   hash range, block) of distinct n-gram hashes with their counts, shuffled by hash range;
+   each range adds up its slices and answers every slice with the corpus counts, which
+   are written.  An n-gram can only occur ``MIN_COUNT`` times if both its parts of order
+   k - 1 do, so from order 3 on only those are counted: the others are known to back off.
 3. ``score``   answers joined to blocks by block; log scores summed per document.
 
-A frequent n-gram occurs once a block, so no hash range is hot; ranges are as many as
-the number of tokens demands.  All documents and all n-grams take part.  N-grams are
-known by 64-bit hashes (at 10^8 n-grams a clash has odds of about 1 in 3000).  A block
-stores its words' hashes and its tokens only; its n-grams are made again from them where
-they are needed, which costs less than to store and shuffle them twice.
+A frequent n-gram occurs once a block, so no hash range is hot; ranges and tasks are as
+many as the number of tokens demands, so that a task's share does not grow.  Slices are
+never more than distinct n-grams in blocks: where there are more ranges than a block has
+n-grams, a slice is one n-gram, a plain row.  All documents and all n-grams take part.
+N-grams are known by 64-bit hashes (at 10^8 n-grams a clash has odds of about 1 in 3000).
+A block stores its words' hashes and its tokens only; its n-grams are made again from them
+where they are needed, which costs less than to store and shuffle them.
 
 Edge cases: null and blank texts have 0 tokens, score 0 and mean 0; repeated rows are
-counted and scored each; an empty table gives no rows; extra columns are not read; a
-text longer than a block is a block of its own.
+counted and scored each; nothing depends on the order of n-grams of equal count; an empty
+table gives no rows; extra columns are not read; a text longer than a block is a block of
+its own, held by one task.
 """
 
 from __future__ import annotations
@@ -44,12 +49,12 @@ from pyspark.sql import functions as F
 
 from ketflow.llm.common import map_arrow, materialize
 
-ORDER = 2
+ORDER = 3
 MIN_COUNT = 2
 ALPHA = 0.4
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 #: Distinct n-grams that a hash range gathers from all blocks, about.
-RANGE_NGRAMS = 1 << 20
+RANGE_NGRAMS = 1 << 21
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _M1, _M2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -161,16 +166,52 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc
     return materialize(map_arrow(rows, run, schema))
 
 
-def counts(table: DataFrame, ranges: int, order: int = ORDER, min_count: int = MIN_COUNT) -> DataFrame:
-    """(block, k, lo, n): corpus counts of the block's n-grams of order k from index lo on; 0 below ``min_count`` for k > 1."""
+def _answered(parts: list[tuple[int, bytes]], size: int, kept: np.ndarray) -> np.ndarray:
+    """Corpus counts of a block's n-grams of one order: the answers, in order, where they were asked for, else 0."""
+    out = np.zeros(size, np.int64)
+    if parts:
+        out[kept] = np.concatenate([unpack(x, np.int64) for _, x in sorted(parts)])
+    return out
+
+
+def _worth(g: Grams, k: int, below: np.ndarray | None, min_count: int) -> np.ndarray:
+    """The n-grams of order k + 1 to count: from order 3 on, those both of whose parts occur ``min_count`` times."""
+    if k < 2:
+        return np.arange(len(g.hash))
+    return np.flatnonzero((below[g.ctx] >= min_count) & (below[g.suf] >= min_count))
+
+
+def _by_block(table: DataFrame, answers: list[DataFrame], n_blocks: int) -> DataFrame:
+    """Blocks with the answers of all orders so far."""
+    columns = ["block", "lengths", "vocabulary", "tokens"]
+    if not answers:
+        return table.select(*columns, F.lit(None).cast("array<struct<k: int, lo: bigint, n: binary>>").alias("answers"))
+    all_of = answers[0]
+    for more in answers[1:]:
+        all_of = all_of.union(more)
+    tasks = max(1, n_blocks)
+    got = all_of.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("k", "lo", "n")).alias("answers"))
+    return table.repartition(tasks, "block").join(got, "block", "left").select("ids", *columns, "answers")
+
+
+def counts(table: DataFrame, orders: list[int], ranges: int, min_count: int = MIN_COUNT) -> DataFrame:
+    """(block, k, lo, n): corpus counts of the n-grams of ``orders`` (from 0) that each block asks for, from the lo-th on; 0 below ``min_count`` for k > 0.
+
+    ``table`` is the result of ``_by_block`` with the answers of the orders below.
+    """
     bits = max(0, (ranges - 1).bit_length())
+    upto = orders[-1] + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, lengths, vocabulary, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows = []
-                for k, g in enumerate(grams(vocabulary, tokens, lengths, order)):
-                    h, n = g.hash, g.count.astype(np.uint32)
+            for block, lengths, vocabulary, tokens, got in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows, below = [], None
+                for k, g in enumerate(grams(vocabulary, tokens, lengths, upto)):
+                    ask = _worth(g, k, below, min_count)
+                    if k not in orders:
+                        below = _answered([(a["lo"], a["n"]) for a in got or () if a["k"] == k], len(g.hash), ask)
+                        continue
+                    h, n = g.hash[ask], g.count[ask].astype(np.uint32)
                     edges = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
                     at = [0, *np.asarray(edges).tolist(), len(h)]
                     rows += [((k << 40) + p, block, k, lo, pack(h[lo:hi]), pack(n[lo:hi])) for p, (lo, hi) in enumerate(zip(at, at[1:], strict=False)) if hi > lo]
@@ -200,17 +241,21 @@ def counts(table: DataFrame, ranges: int, order: int = ORDER, min_count: int = M
         if held:
             yield answer()
 
-    slices = map_arrow(table.select("block", "lengths", "vocabulary", "tokens"), cut, "key bigint, block bigint, k int, lo bigint, h binary, n binary")
-    return map_arrow(slices.repartition("key").sortWithinPartitions("key"), add, "block bigint, k int, lo bigint, n binary")
+    slices = map_arrow(table.select("block", "lengths", "vocabulary", "tokens", "answers"), cut, "key bigint, block bigint, k int, lo bigint, h binary, n binary")
+    tasks = 2 * len(orders) << bits
+    return map_arrow(slices.repartition(tasks, "key").sortWithinPartitions("key"), add, "block bigint, k int, lo bigint, n binary")
 
 
 def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_backoff, log_score, mean_log_score) of every row; natural logarithms."""
     table = blocks(docs, id_col=id_col, text_col=text_col)
-    tokens = table.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    size = table.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"), F.count("*").alias("blocks")).first()
+    tokens = size["tokens"] or 0
     ranges = max(1, math.ceil(tokens / RANGE_NGRAMS))
-    answers = counts(table, ranges, order, min_count).groupBy("block").agg(F.collect_list(F.struct("k", "lo", "n")).alias("answers"))
-    joined = table.join(answers, "block", "left").select("ids", "lengths", "vocabulary", "tokens", "answers")
+    answers: list[DataFrame] = []
+    for orders in [list(range(min(2, order))), *([k] for k in range(2, order))]:
+        answers.append(materialize(counts(_by_block(table, answers, size["blocks"]), orders, ranges, min_count)))
+    joined = _by_block(table, answers, size["blocks"]).select("ids", "lengths", "vocabulary", "tokens", "answers")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +266,7 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alpha
                 total, steps = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
                 below = log_below = steps_below = None
                 for k, g in enumerate(grams(vocabulary, words, lengths, order)):
-                    parts = sorted((a["lo"], a["n"]) for a in got or () if a["k"] == k)
-                    n = np.concatenate([unpack(x, np.int64) for _, x in parts]) if parts else np.empty(0, np.int64)
+                    n = _answered([(a["lo"], a["n"]) for a in got or () if a["k"] == k], len(g.hash), _worth(g, k, below, min_count))
                     with np.errstate(divide="ignore"):
                         if k == 0:
                             logs, back = np.log(n / max(1, tokens)), np.zeros(len(n), np.int64)
@@ -242,22 +286,30 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alpha
 
 
 def oracle() -> str:
-    """DuckDB SQL for order 2: count tables joined to the exploded bigrams."""
+    """DuckDB SQL for order 3: count tables joined to the exploded n-grams."""
     return f"""
     WITH d AS (
       SELECT row_number() OVER () AS rid, doc_id,
              list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
       FROM documents),
-    t AS (SELECT rid, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS prev FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-    c1 AS (SELECT word, count(*) AS n FROM t GROUP BY word),
-    c2 AS (SELECT prev, word, count(*) AS n FROM t WHERE prev IS NOT NULL GROUP BY prev, word),
+    t AS (SELECT rid, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+    c1 AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+    c2 AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, c),
+    c3 AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b, c),
     s AS (
-      SELECT rid, coalesce(c2.n, 0) < {MIN_COUNT} AND t.prev IS NOT NULL AS backed,
-             CASE WHEN t.prev IS NULL THEN ln(a.n / (SELECT count(*) FROM t))
-                  WHEN c2.n >= {MIN_COUNT} THEN ln(c2.n / p.n)
-                  ELSE ln({ALPHA}) + ln(a.n / (SELECT count(*) FROM t)) END AS x
-      FROM t JOIN c1 a ON a.word = t.word LEFT JOIN c1 p ON p.word = t.prev LEFT JOIN c2 ON c2.prev = t.prev AND c2.word = t.word),
-    g AS (SELECT rid, count(*) AS n, count(*) FILTER (WHERE backed) AS b, sum(x) AS x FROM s GROUP BY rid)
+      SELECT rid, CASE WHEN t.a IS NOT NULL AND coalesce(abc.n, 0) < {MIN_COUNT} THEN 1 ELSE 0 END AS off3,
+             CASE WHEN t.b IS NOT NULL AND coalesce(bc.n, 0) < {MIN_COUNT} THEN 1 ELSE 0 END AS off2,
+             abc.n AS n3, ab.n AS n2a, bc.n AS n2, b1.n AS n1b, one.n AS n1, t.a IS NOT NULL AS has3, t.b IS NOT NULL AS has2
+      FROM t JOIN c1 one ON one.c = t.c LEFT JOIN c1 b1 ON b1.c = t.b
+             LEFT JOIN c2 bc ON bc.b = t.b AND bc.c = t.c LEFT JOIN c2 ab ON ab.b = t.a AND ab.c = t.b
+             LEFT JOIN c3 abc ON abc.a = t.a AND abc.b = t.b AND abc.c = t.c),
+    x AS (
+      SELECT rid, CASE WHEN has3 AND off3 = 0 THEN 0 ELSE off3 + off2 END AS backed,
+             CASE WHEN has3 AND off3 = 0 THEN ln(n3 / n2a)
+                  WHEN has2 AND off2 = 0 THEN off3 * ln({ALPHA}) + ln(n2 / n1b)
+                  ELSE (off3 + off2) * ln({ALPHA}) + ln(n1 / (SELECT count(*) FROM t)) END AS x
+      FROM s),
+    g AS (SELECT rid, count(*) AS n, sum(backed) AS b, sum(x) AS x FROM x GROUP BY rid)
     SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, coalesce(b, 0)::BIGINT AS n_backoff,
            round(coalesce(x, 0.0), 4) + 0.0 AS log_score, round(coalesce(x / n, 0.0), 6) + 0.0 AS mean_log_score
     FROM d LEFT JOIN g USING (rid)"""

@@ -30,7 +30,7 @@ def brute(data, order, min_count=2, alpha=0.4):
     return sorted(out)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_against_brute_force(spark, order, monkeypatch):
     monkeypatch.setattr(lm, "RANGE_NGRAMS", 5000)  # several hash ranges
     data = messy.rows()
