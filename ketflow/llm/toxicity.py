@@ -1,27 +1,32 @@
 """Toxicity by compression distance (operator 1), with zstandard dictionaries.
 
-Two dictionaries are trained: one on ordinary text, one on the spans that toxic texts
-have and ordinary ones lack (runs of byte 5-grams that no ordinary sample text holds
-and several toxic ones do; without that contrast a dictionary of toxic text mostly
-holds ordinary words).  Every text is cut into windows of ``WINDOW`` words.  Each
-window is compressed with the ordinary dictionary alone and with the toxic one put
-before it; as both share their ordinary part, the difference in length is what toxic
-content alone saves.  A text's distance is the greatest saving of its windows, and a
-monotone calibration (isotonic, on sample rows kept apart) turns it into a score.
+Two dictionaries are trained: one on ordinary text, one on the spans of toxic texts that
+ordinary ones seldom have: runs of byte 5-grams that at least ``LEAST`` toxic training
+texts hold and that are, smoothed, ``RATIO`` times as frequent there as in ordinary ones.
+(Trained on toxic text as it stands, a dictionary mostly holds ordinary words, and the
+lengths of windows tell next to nothing; README has the figures.)  Every text is cut into
+windows of ``WINDOW`` words.  Each window is compressed with the ordinary dictionary alone
+and with the toxic one put before it; as both share their ordinary part, the difference in
+length is what toxic content alone saves.  A text's distance is the sum of its ``TOP``
+greatest savings, and a monotone calibration (isotonic, on sample rows kept apart) turns
+it into a score.
 
 The model is fitted on a bounded sample of labelled rows: at most ``MAX_TOXIC`` and
-``MAX_ORDINARY`` ids, those of least hash, so its cost does not grow with the corpus.
-Scoring covers every window of every text, in one pass without a shuffle.
+``MAX_ORDINARY`` ids, those of least hash, and of these texts at most ``MAX_BYTES`` bytes,
+so its cost does not grow with the corpus.  Scoring covers every window of every text, in
+one pass without a shuffle.
 
 Edge cases: null, blank and wordless texts have no window, distance 0 and the score of
 distance 0; without a toxic or an ordinary training row every score is 0; repeated
-labels of an id count once (the greatest); repeated rows get the same score each; an
-empty table gives no rows; extra columns are not read.
+labels of an id count once (the greatest); repeated rows get the same score each, as do
+texts of equal distance; texts of any length are scored whole, ``CHUNK`` windows at a time;
+an empty table gives no rows; extra columns pass through ``score``, but for one with the
+name of the output, which is replaced.
 """
 
 from __future__ import annotations
 
-import math
+import heapq
 import pickle
 from collections import Counter
 from collections.abc import Iterator
@@ -35,10 +40,12 @@ from pyspark.sql import functions as F
 
 from ketflow.llm.common import crc32_mod, extended, map_arrow
 
-MAX_TOXIC, MAX_ORDINARY = 2000, 6000
-WINDOW, GRAM = 4, 5
-#: Share of the toxic training texts that must hold a gram before it counts (and 2 at least).
-GRAM_SHARE = 0.01
+MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 2000, 6000, 64 << 20
+WINDOW, GRAM, TOP = 4, 5, 3
+#: Toxic training texts that must hold a gram, and how much more frequent it must be there than in ordinary ones.
+LEAST, RATIO = 3, 20.0
+#: Windows of a text that are compressed at once, and distances that the calibration tells apart.
+CHUNK, LEVELS = 1 << 14, 65
 TOXIC_BYTES, ORDINARY_BYTES = 4096, 1024
 #: Bytes of the ordinary dictionary put before each window: a sure match in both, so that the fixed cost of a compressed block cancels out.
 CARRIER = 32
@@ -114,14 +121,19 @@ class Model:
         return [len(a) - len(b) for a, b in zip(plain, toxic, strict=True)]
 
     def distance(self, text: str | None) -> int:
-        windows = windows_of(text)
-        return max(0, max(self.savings(windows))) if windows and self.toxic else 0
+        """Sum of the ``TOP`` greatest savings of the text's windows."""
+        if not self.toxic:
+            return 0
+        windows, best = windows_of(text), [0] * TOP
+        for at in range(0, len(windows), CHUNK):
+            best = heapq.nlargest(TOP, [*best, *self.savings(windows[at : at + CHUNK])])
+        return sum(best)
 
     def score(self, text: str | None) -> float:
         return float(self.score_of[min(self.distance(text), len(self.score_of) - 1)])
 
 
-def _isotonic(distance: np.ndarray, toxic: np.ndarray, weight: np.ndarray, levels: int = 33) -> np.ndarray:
+def _isotonic(distance: np.ndarray, toxic: np.ndarray, weight: np.ndarray, levels: int = LEVELS) -> np.ndarray:
     """Monotone probability of each distance by pooling adjacent violators, with half a row of each label at the ends."""
     blocks: list[list[float]] = []
     for k in range(levels):
@@ -138,6 +150,18 @@ def _isotonic(distance: np.ndarray, toxic: np.ndarray, weight: np.ndarray, level
     return np.concatenate([np.full(int(n), p / a if a else 0.0) for p, a, n in blocks])
 
 
+def telling_grams(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
+    """Grams that enough toxic texts hold and that are ``RATIO`` times as frequent there, by smoothed document frequency."""
+    held: Counter[bytes] = Counter()
+    for t in toxic:
+        held.update(set(_grams(t)))
+    held = Counter({g: n for g, n in held.items() if n >= LEAST})
+    plain: Counter[bytes] = Counter()
+    for t in ordinary:
+        plain.update(held.keys() & set(_grams(t)))
+    return {g for g, n in held.items() if (n + 0.5) / (len(toxic) + 1) >= RATIO * (plain[g] + 0.5) / (len(ordinary) + 1)}
+
+
 def fit(texts: list[str | None], labels: list[int], toxic_total: int, ordinary_total: int) -> Model:
     """Model of sample texts; two of three train the dictionaries, the third calibrates.
 
@@ -153,14 +177,7 @@ def fit(texts: list[str | None], labels: list[int], toxic_total: int, ordinary_t
     flat = [b" " + b" ".join(words_of(t)) + b" " for t in texts]
     ordinary = [t for t, k, use in zip(flat, labels, learns, strict=True) if use and not k]
     toxic = [t for t, k, use in zip(flat, labels, learns, strict=True) if use and k]
-    common: set[bytes] = set()
-    for t in ordinary:
-        common.update(_grams(t))
-    held: Counter[bytes] = Counter()
-    for t in toxic:
-        held.update(set(_grams(t)) - common)
-    least = max(2, math.ceil(GRAM_SHARE * len(toxic)))
-    wanted = {g for g, n in held.items() if n >= least}
+    wanted = telling_grams(toxic, ordinary)
     own = [b"\n".join(s) + b"\n" for t in toxic if (s := _spans(t, wanted))]
     samples = [w for t, k, use in zip(texts, labels, learns, strict=True) if use and not k for w in windows_of(t, 32)]
     model = Model(train_dictionary(samples, ORDINARY_BYTES), train_dictionary(own, TOXIC_BYTES) if own else b"", np.zeros(2))
@@ -189,7 +206,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     toxic_total, ordinary_total = totals.get(1, 0), totals.get(0, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        rows, held = [], 0
+        for b in batches:
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held < MAX_BYTES:
+                    rows.append((text, y))
+                    held += len(text or "")
         model = fit([r[0] for r in rows], [r[1] for r in rows], toxic_total, ordinary_total)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
