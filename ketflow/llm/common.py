@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -25,11 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where it is unset, as in tests, a local folder is set once for the session.
+    Where it is unset, a local session, as in tests, gets a local folder; on a cluster that
+    would lose data, so there it is an error.
     """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jdir.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         got = jdir.get() if jdir.isDefined() else f"file:///tmp/ketflow-checkpoints-{os.getuid()}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(got)
@@ -109,3 +113,10 @@ def extended(df: DataFrame, **new: str) -> tuple[DataFrame, object]:
     """
     base = df.drop(*new)
     return base, base.select(*columns_of(base), *[F.lit(None).cast(t).alias(n) for n, t in new.items()]).schema
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join with rows of ``one`` that are unique by ``key``; rows of ``many`` that share a key are spread over ``salts`` tasks by column ``by``."""
+    left = many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    right = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "__salt"], how).drop("__salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ketflow.llm.common import discard, materialize
+from ketflow.llm.common import discard, materialize, salted_join
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -14,9 +14,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     Large-star and small-star rounds: each node links its larger, then its smaller
     neighbours to the smallest neighbour it knows, until only stars are left, after a
     number of rounds logarithmic in the size of the largest component.  The edge count
-    never grows, the minimum per node is aggregated before the shuffle, and each round
-    is written to the shared folder, so lineage stays one round deep;
-    the round before it is then deleted.
+    never grows, the minimum per node is aggregated before the shuffle, and the centre of
+    a large star is joined in salted parts, so no task gets all its edges.  Each round is
+    written to the shared folder, so lineage stays one round deep; the round before it is
+    then deleted.
     """
     now = materialize(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct())
     seen = None
@@ -27,9 +28,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         seen = tuple(state)
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = salted_join(both, least, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.join(least, "a")
+        met = salted_join(large, least, "a", "b")
         small = met.select("a", F.col("m").alias("b")).union(met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         last, now = now, materialize(small.distinct())
         discard(last)

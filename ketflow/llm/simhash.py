@@ -8,17 +8,20 @@ their integer Hamming distance to the parent, and looks members up in it, follow
 only edges within the radius of their distance.  Where the method speaks of
 broadcasting the trees, the trees stay with the bucket's own queries, which the
 shuffle has already brought there: the set of all trees grows with the corpus and so
-has no bound for a broadcast.
+has no bound for a broadcast.  A bucket of more than ``BUCKET`` fingerprints is cut into
+parts of about that many, and each two parts meet in a task.
 
 ``classes`` links at ``radius`` or fewer of 64 bits.  With ``radius + 1`` blocks two
 such fingerprints agree on a block, so no link is lost.
 
 ``keep_one`` is the filter for corpora: near-duplicates by the exact Jaccard similarity
-of their sets of distinct shingles, without fingerprints.  Candidates come from an exact
-prefix filter: of a set's shingles, rarest first, only so many are looked up that two
-sets similar enough must meet in one.  The order is by hashed counters of frequency, so
-that common lines come last; any order finds all pairs.  Candidates' components are then
-tested pair by pair, and only pairs that are similar enough are linked.
+of their sets of distinct shingles, without fingerprints, as these lose links near the
+limit (README has figures).  Candidates come from an exact prefix filter: of a set's
+shingles, rarest first, only so many are looked up that two sets similar enough must meet
+in one.  The order is by hashed counters of frequency, so that common lines come last; any
+order finds all pairs.  Candidates' components are then tested, and only pairs that are
+similar enough are linked.  In large components a few leaders come first: members similar
+to one of them are linked to it, and only the rest has to meet all others.
 
 A shard returns the spanning stars of its local components, never all pairs: a few
 leaders first gather the members near to them, and only members outside the largest
@@ -26,9 +29,10 @@ component are then looked up in the tree, since a link has two ends.
 ``graph.components`` joins the stars of all shards.
 
 Edge cases: null and blank texts have fingerprint zero and are linked like any other (for
-``keep_one`` their empty sets are equal);
-repeated rows get the same answer each (``keep_one`` keeps one of them); a null doc_id
-never names a component unless it is alone; an empty table gives no rows; extra
+``keep_one`` their empty sets are equal); repeated rows get the same answer each
+(``keep_one`` keeps one of them, and the least id of a group; of rows with that id, that
+of any one text); a null doc_id never names a component unless it is alone; texts of any
+length are read whole, in memory in proportion to them; an empty table gives no rows; extra
 columns are not read by ``classes`` and pass through ``keep_one``.
 """
 
@@ -40,10 +44,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ketflow.llm.common import columns_of, extended, map_arrow, materialize
+from ketflow.llm.common import columns_of, discard, extended, map_arrow, materialize, salted_join
 from ketflow.llm.graph import components
 
 SEED = 42
@@ -51,12 +55,18 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _VOTE_ROWS = 255 * 64
 #: Leaders tried in a shard before its tree is asked.
 _LEADERS = 16
+#: Fingerprints of a bucket in one task, or in each half of one.
+BUCKET = 1 << 14
 #: Counters of shingle frequencies, and the rows they are summed in.
 _COUNTERS, _SLICES = 1 << 20, 64
 #: Most rows of a prefix shingle that are compared in pairs before the exact test.
 _ALL_PAIRS = 32
-#: Most texts of a component in one task, or in each half of one.
-_TILE = 128
+#: Prefix shingles of a batch that are grouped before the shuffle.
+_BATCH_ROWS = 400_000
+#: Most texts of a component in one task, or in each half of one, and the leaders of larger ones.
+_TILE, _HEADS = 128, 8
+#: Bits of the set of candidates' digests that is broadcast (4 MB).
+_BITS = 1 << 25
 
 
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
@@ -236,6 +246,12 @@ def links(fps: DataFrame, radius: int = 3, words: int = 1, blocks: int | None =
         yield _pairs(answer())
 
     rows = fps.select(F.explode(F.array(*keys)).alias("key"), "node", *names)
+    large = rows.groupBy("key").count().filter(F.col("count") > BUCKET)
+    if not large.isEmpty():
+        parts = large.select("key", F.ceil(F.col("count") / BUCKET).cast("int").alias("k"))
+        cut = salted_join(rows, parts, "key", "node", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+        cut = cut.withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        rows = cut.select(F.xxhash64("key", F.least("c", "d"), F.greatest("c", "d")).alias("key"), "node", *names)
     return map_arrow(rows.repartition("key").sortWithinPartitions("key"), run, "a bigint, b bigint").distinct()
 
 
@@ -251,8 +267,8 @@ def classes(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str = "doc_
     label = components(links(distinct.select(F.col("fp").alias("node"), F.col("fp").alias("w0")), radius))
     named = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    component = named.join(smallest, "label").select("fp", "component_id")
-    return rows.join(component, "fp").select("doc_id", "fp", "component_id")
+    component = salted_join(named, smallest, "label", "fp").select("fp", "component_id")
+    return salted_join(rows, component, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
@@ -301,77 +317,116 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.nd
 
 
 def _bucket_pairs(node: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the rows of one prefix shingle, of ``n`` shingles each, of which it is number ``at``.
-
-    All pairs that can still be similar enough; in large buckets, chains of neighbours
-    by size, broken where sizes are too far apart, which connect all those pairs.
-    """
-    if len(node) > _ALL_PAIRS:
-        o = np.argsort(n, kind="stable")
-        near = n[o[:-1]] >= similarity * n[o[1:]] - 1e-9
-        return node[o[:-1]][near], node[o[1:]][near]
+    """Pairs of the rows of one small bucket, of ``n`` shingles each, of which the bucket's is number ``at``, that can still be similar enough."""
     i, j = np.triu_indices(len(node), 1)
     overlap = np.minimum(n[i] - at[i], n[j] - at[j])
     ok = overlap >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9
     return node[i][ok], node[j][ok]
 
 
+def _chains(key: np.ndarray, node: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of neighbours in rows sorted by key and size, broken where sizes are too far apart: they connect all pairs that can be similar enough."""
+    near = (key[:-1] == key[1:]) & (n[:-1] >= similarity * n[1:] - 1e-9)
+    return np.stack([node[:-1][near], node[1:][near]], axis=1)
+
+
+def _spread(node: np.ndarray, n: np.ndarray, prefixes: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, edges) of a batch of sets: rows (key, node, n, place) for each prefix shingle.
+
+    Of keys with over ``_ALL_PAIRS`` rows, chains are linked here already, and only their
+    ends go on (with place -1), so a hot key costs a few rows a batch.
+    """
+    lengths = np.array([len(p) for p in prefixes], np.int64)
+    rows = np.stack([np.concatenate([*prefixes, np.empty(0, np.int64)]), np.repeat(node, lengths), np.repeat(n, lengths), np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)])
+    _, inverse, count = np.unique(rows[0], return_inverse=True, return_counts=True)
+    hot = count[inverse] > _ALL_PAIRS
+    if not hot.any():
+        return rows, np.empty((0, 2), np.int64)
+    part = rows[:, hot]
+    part = part[:, np.lexsort((part[1], part[2], part[0]))]
+    edges = _chains(part[0], part[1], part[2], similarity)
+    linked = (part[0, :-1] == part[0, 1:]) & (part[2, :-1] >= similarity * part[2, 1:] - 1e-9)
+    ends = part[:, ~(np.r_[False, linked] & np.r_[linked, False])]
+    ends[3] = -1
+    return np.concatenate([rows[:, ~hot], ends], axis=1), np.unique(np.sort(edges, axis=1), axis=0)
+
+
 def candidates(sets: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) that connect, among others, all pairs of sets with a similarity of at least ``similarity``.
 
     ``sets`` has columns node (long, unique), n (size of the set) and prefix (its rarest
     shingles, as 64-bit words).  Exact: sets that share no prefix shingle are less similar.
+    Rows of a key come in order of size, so a large bucket is linked as it streams by.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "node", "n", "place"]
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                c = b.slice(lo, 500)
-                keys = [np.frombuffer(x, np.int64) for x in c.column(2).to_pylist()]
-                if not keys:
-                    continue
-                lengths = np.array([len(k) for k in keys])
-                at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                sizes = np.repeat(c.column(1).to_numpy().astype(np.int64), lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(c.column(0).to_numpy(), lengths)), pa.array(sizes << 32 | at)], names=["key", "node", "place"])
+            prefixes = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+            node, size = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
+            part = np.cumsum([len(p) for p in prefixes]) // _BATCH_ROWS  # as many sets at once as have about so many rows
+            for k in np.unique(part).tolist():
+                lo, hi = np.searchsorted(part, [k, k + 1])
+                rows, edges = _spread(node[lo:hi], size[lo:hi], prefixes[lo:hi], similarity)
+                for x in range(0, rows.shape[1], 50_000):
+                    key, of, n, place = rows[:, x : x + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(of), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], names=names)
+                if len(edges):  # pass the shuffle as rows (first node, second node, -1, -2)
+                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.array(np.full(len(edges), -1, np.int32)), pa.array(np.full(len(edges), -2, np.int32))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty((3, 0), np.int64)]
+        held = np.empty((4, 0), np.int64)  # rows of the last key so far, if not more than fit one bucket
+        tail: np.ndarray | None = None  # the last row of a larger one
 
         def answer(rows: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero(np.diff(rows[0])) + 1
-            lo, hi = np.r_[0, cuts], np.r_[cuts, rows.shape[1]]
-            n, at = rows[2] >> 32, rows[2] & 0xFFFFFFFF
-            found = [_bucket_pairs(rows[1, x:y], n[x:y], at[x:y], similarity) for x, y in zip(lo.tolist(), hi.tolist(), strict=True) if y - x > 1]
-            pairs = np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)], axis=1) if found else np.empty((0, 2), np.int64)
-            return _pairs(np.unique(np.sort(pairs, axis=1), axis=0))
+            done = rows[3] == -2
+            out = [rows[:2, done].T]
+            rows = rows[:, ~done]
+            key, node, n, at = rows
+            _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            large = count > _ALL_PAIRS
+            large[inverse[at < 0]] = True
+            many = large[inverse]
+            out.append(_chains(key[many], node[many], n[many], similarity))
+            for lo, k in zip(first[~large & (count > 1)].tolist(), count[~large & (count > 1)].tolist(), strict=True):
+                out.append(np.stack(_bucket_pairs(node[lo : lo + k], n[lo : lo + k], at[lo : lo + k], similarity), axis=1))
+            pairs = np.concatenate(out)
+            return _pairs(np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0))
 
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = np.stack([b.column(k).to_numpy() for k in range(3)])
-            last = int(np.searchsorted(rows[0], rows[0, -1]))  # the last key may go on in the next batch
-            if last or held[0].shape[1] and held[0][0, 0] != rows[0, 0]:
-                yield answer(np.concatenate([*held, rows[:, :last]], axis=1))
-                held = [rows[:, last:]]
+            rows = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(4)])
+            if tail is not None:  # the key of a large bucket may go on
+                rows = np.concatenate([tail, rows], axis=1)
+            else:
+                rows = np.concatenate([held, rows], axis=1)
+            last = int(np.searchsorted(rows[0], rows[0, -1]))
+            if rows.shape[1] - last > _ALL_PAIRS:  # a large bucket: link what is here, carry on from its last row
+                yield answer(np.concatenate([rows[:, :last], np.where(np.arange(4)[:, None] == 3, np.minimum(rows[:, last:], -1), rows[:, last:])], axis=1))
+                own = np.flatnonzero((rows[0] == rows[0, -1]) & (rows[3] != -2))
+                tail, held = (rows[:, own[-1:]], held[:, :0]) if len(own) else (None, held[:, :0])
+                if tail is not None:
+                    tail[3] = -1
             else:
-                held.append(rows)
-        if held[-1].shape[1]:
-            yield answer(np.concatenate(held, axis=1))
+                yield answer(rows[:, :last])
+                held, tail = rows[:, last:], None
+        yield answer(np.concatenate([tail if tail is not None else held], axis=1))
 
-    rows = map_arrow(sets.select("node", "n", "prefix"), spread, "key bigint, node bigint, place bigint")
-    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), run, "a bigint, b bigint").distinct()
+    rows = map_arrow(sets.select("node", "n", "prefix"), spread, "key bigint, node bigint, n int, place int")
+    return map_arrow(rows.repartition("key").sortWithinPartitions("key", "n", "node"), run, "a bigint, b bigint").distinct()
 
 
-def _similar(nodes: list[int], sets: list[np.ndarray], side: list[int], similarity: float) -> list[tuple[int, int]]:
-    """Spanning edges of the pairs with an exact Jaccard similarity of ``similarity`` or more: across sides 0 and 1, or all if there is one side."""
+def _similar(nodes: list[int], sets: list[np.ndarray], side: list[int], similarity: float, all_links: bool = False) -> list[tuple[int, int]]:
+    """Spanning edges (or all) of the pairs with an exact Jaccard similarity of ``similarity`` or more: across sides 0 and 1, or all if there is one side."""
     sizes = np.array([len(x) for x in sets])
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    codes = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True)[1]
     starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     across = len(set(side)) > 1
     left = [i for i, x in enumerate(side) if not across or x == 0]
     mine = np.array(side) == 1
-    mark = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
+    mark = np.zeros(int(codes.max(initial=0)) + 1, bool)
     root = list(range(len(nodes)))
 
     def find(x: int) -> int:
@@ -383,34 +438,22 @@ def _similar(nodes: list[int], sets: list[np.ndarray], side: list[int], similari
     out = []
     for i in left:
         own = codes[starts[i] : starts[i] + sizes[i]]
-        mark[own] = 1
-        shared = np.add.reduceat(mark[codes], starts)
-        mark[own] = 0
+        mark[own] = True
+        shared = np.bincount(owner[mark[codes]], minlength=len(sizes))
+        mark[own] = False
         near = shared >= similarity * (sizes + sizes[i] - shared) - 1e-9
         near = near & mine if across else near
         for j in np.flatnonzero(near).tolist():
-            if (x := find(i)) != (y := find(j)):
+            if all_links:
+                out.append((nodes[i], nodes[j]))
+            elif (x := find(i)) != (y := find(j)):
                 root[max(x, y)] = min(x, y)
                 out.append((nodes[i], nodes[j]))
     return out
 
 
-def verified(edges: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect the pairs of at least ``similarity`` inside the components of ``edges``; every edge is an exact one.
-
-    ``texts`` has columns node and text (binary).  A component's texts meet in one task as
-    shingle sets; one of over ``_TILE`` texts is cut into chunks, and each two chunks meet.
-    """
-    label = materialize(components(edges))
-    large = label.groupBy("label").count().filter(F.col("count") > _TILE).select("label", F.ceil(F.col("count") / _TILE).cast("int").alias("k"))
-    rows = texts.join(label, "node").join(F.broadcast(large), "label", "left")
-
-    def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                c = b.slice(lo, 200)
-                sets = pa.array([shingle_set(t, size).tobytes() for t in c.column(3).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*c.columns[:3], sets], names=["label", "node", "k", "shingles"])
+def _compare(tiles: DataFrame, keys: list[str], similarity: float, all_links: bool = False) -> DataFrame:
+    """Edges (a, b) of the similar pairs of each tile: rows (keys..., node, side, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -420,55 +463,192 @@ def verified(edges: DataFrame, texts: DataFrame, size: int, similarity: float) -
             if len(held) < 2:
                 return []
             nodes, sides, sets = zip(*held, strict=True)
-            return _similar(list(nodes), list(sets), list(sides), similarity)
+            return _similar(list(nodes), list(sets), list(sides), similarity, all_links)
 
         for b in batches:
             out = []
-            for label, u, v, node, side, x in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                if (label, u, v) != key:
+            for *at, node, side, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != key:
                     out += answer()
-                    held, key = [], (label, u, v)
+                    held, key = [], at
                 held.append((node, side, np.frombuffer(x, np.uint64)))
             yield _pairs(out)
         yield _pairs(answer())
 
-    sets = map_arrow(rows.select("label", "node", F.coalesce("k", F.lit(1)).alias("k"), "text"), to_set, "label bigint, node bigint, k int, shingles binary")
-    sets = sets.withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    sets = sets.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    tiles = sets.select("label", F.least("c", "d").alias("u"), F.greatest("c", "d").alias("v"), "node", (F.col("c") > F.col("d")).cast("int").alias("side"), "shingles")
-    keys = ["label", "u", "v"]
-    return map_arrow(tiles.repartition(*keys).sortWithinPartitions(*keys), run, "a bigint, b bigint").distinct()
+    return map_arrow(tiles.select(*keys, "node", "side", "shingles").repartition(*keys).sortWithinPartitions(*keys), run, "a bigint, b bigint")
+
+
+def _main_heads(links: DataFrame) -> DataFrame:
+    """(label, main): of the heads of each component, as bits, those that members similar to two of them connect, the most members first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            labels, mains = [], []
+            for label, masks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                groups: list[list[int]] = []  # heads as bits, members
+                for r in masks:
+                    mask, n = r["mask"], r["n"]
+                    for g in [g for g in groups if g[0] & mask]:
+                        mask, n = mask | g[0], n + g[1]
+                        groups.remove(g)
+                    groups.append([mask, n])
+                labels.append(label)
+                mains.append(max(groups, key=lambda g: (g[1], g[0]))[0])
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array(mains, pa.int32())], names=["label", "main"])
+
+    masks = links.groupBy("label", "mask").agg(F.count("*").alias("n")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("mask", "n"))).alias("masks"))  # at most 2^_HEADS of a label
+    return map_arrow(masks, run, "label bigint, main int")
+
+
+def verified(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect the pairs of at least ``similarity`` inside components; every edge is an exact one.
+
+    ``sets`` has columns label (component of candidates), node (unique) and shingles (its
+    set).  A component of up to ``_TILE`` texts meets in one task.  In a larger one, all
+    members are first compared with its ``_HEADS`` heads (members of least hash), each on
+    its own; those that the heads connect need not meet each other.  The rest is cut into
+    chunks, and each meets each chunk of the whole component.
+    """
+    counts = sets.groupBy("label").agg(F.count("*").alias("members"))
+    sized = salted_join(sets, counts, "label", "node")
+    small = sized.filter(F.col("members") <= _TILE).withColumn("side", F.lit(0))
+    edges = _compare(small, ["label"], similarity)
+    if counts.filter(F.col("members") > _TILE).isEmpty():
+        return edges.distinct()
+    large = sized.filter(F.col("members") > _TILE)
+    order = F.struct(F.xxhash64("node", F.lit("head")), F.col("node"))
+    # the least hashes of a label: of each salted part first, then of all
+    first = large.select("label", "node", order.alias("o"), F.pmod(F.xxhash64("node"), F.lit(64)).alias("part"))
+    for by in (["label", "part"], ["label"]):
+        first = first.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("o"))).filter(F.col("r") <= _HEADS)
+    heads = large.join(first.select("node", (F.col("r") - 1).alias("head")), "node").select("label", "head", F.col("node").alias("head_node"), F.col("shingles").alias("head_set"))
+    heads = heads.groupBy("label").agg(F.collect_list(F.struct("head", "head_node", "head_set")).alias("heads"))  # _HEADS of a label
+
+    def to_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            masks, near = [], []
+            for node, x, all_heads in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
+                own = np.frombuffer(x, np.uint64)
+                hits = []
+                for h in all_heads:
+                    other = np.frombuffer(h["head_set"], np.uint64)
+                    shared = len(np.intersect1d(own, other, assume_unique=True))
+                    if shared >= similarity * (len(own) + len(other) - shared) - 1e-9:
+                        hits.append((h["head"], h["head_node"]))
+                masks.append(sum(1 << k for k, _ in hits))
+                near.append([v for _, v in hits if v != node])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(masks, pa.int32()), pa.array(near, pa.list_(pa.int64()))], names=["label", "node", "shingles", "members", "mask", "near"])
+
+    met = salted_join(large.select("label", "node", "shingles", "members"), heads, "label", "node", salts=64).select("label", "node", "shingles", "members", "heads")
+    met = materialize(map_arrow(met, to_heads, "label bigint, node bigint, shingles binary, members bigint, mask int, near array<bigint>"))
+    edges = edges.union(met.select(F.col("node").alias("a"), F.explode("near").alias("b")))
+    placed = salted_join(met, _main_heads(met.filter("mask > 0").select("label", "mask")), "label", "node", "left", salts=64)
+    placed = placed.withColumn("rest", F.col("mask").bitwiseAND(F.coalesce("main", F.lit(0))) == 0)
+    left = placed.groupBy("label").agg(F.count_if("rest").alias("left"), F.count("*").alias("all")).filter("left > 0")
+    left = left.select("label", F.ceil(F.col("left") / _TILE).cast("int").alias("us"), F.ceil(F.col("all") / _TILE).cast("int").alias("vs"))
+    todo = salted_join(placed, left, "label", "node", salts=64)
+    chunk = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    asks = todo.filter("rest").select("label", chunk("us").alias("u"), F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("v"), "node", F.lit(0).alias("side"), "shingles")
+    asked = todo.select("label", F.explode(F.sequence(F.lit(0), F.col("us") - 1)).alias("u"), chunk("vs").alias("v"), "node", F.lit(1).alias("side"), "shingles")
+    return edges.union(_compare(asks.union(asked), ["label", "u", "v"], similarity)).filter("a <> b").distinct()
+
+
+def _bits_of(digests: DataFrame) -> np.ndarray:
+    """Which of ``_BITS`` hash classes the digests (one column of longs) fall into."""
+    per = _BITS // 8 // _SLICES
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(_BITS, bool)
+        for b in batches:
+            flags[b.column(0).to_numpy().view(np.uint64) % np.uint64(_BITS)] = True
+        packed = np.packbits(flags)
+        some = [k for k in range(_SLICES) if packed[k * per : (k + 1) * per].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[k * per : (k + 1) * per].tobytes() for k in some], pa.binary())], names=["slice", "bits"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, np.uint8(0)) | np.frombuffer(x, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "bits"])
+
+    out = np.zeros(_BITS // 8, np.uint8)
+    schema = "slice int, bits binary"
+    for r in map_arrow(map_arrow(digests, mark, schema).repartition("slice"), add, schema).collect():
+        out[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(r["bits"], np.uint8)
+    return np.unpackbits(out).view(bool)
+
+
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128-bit digest of a set as two signed longs."""
+    return tuple(np.array(divmod(xxhash.xxh3_128_intdigest(shingles.tobytes(), SEED), 2**64), np.uint64).view(np.int64).tolist())
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, one for each group of near-duplicates: the one of least id.
+    """The rows of ``docs``, one for each group of near-duplicates: one with the least id.
 
     Groups are the components of the pairs whose sets of distinct ``size``-word shingles
-    have a Jaccard similarity of at least ``similarity``.  The rows are written once with
-    a row number and a digest of their set, so that equal sets are one node, and filtered
-    by a join on the row number, which has no skew.
+    have a Jaccard similarity of at least ``similarity``.  Sets are known by 128-bit digests
+    and equal sets are one node.  Only sizes and prefixes are written, and the sets of
+    candidates; texts are read again where they are needed.  The rows to keep are found by
+    a join on digest and id, which spreads even a large group of copies.
     """
-    own = {"__d0": "bigint", "__d1": "bigint", "__n": "int", "__prefix": "binary"}
-    at = docs.columns.index(text_col)
-    _, schema = extended(docs, **own)
+    texts = docs.select(columns_of(docs)[docs.columns.index(id_col)].alias("id"), columns_of(docs)[docs.columns.index(text_col)].cast("binary").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size, text_col))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for b in batches:
-            sets = [shingle_set(None if t is None else t.encode(), size) for t in b.column(at).to_pylist()]
-            digests = np.array([divmod(xxhash.xxh3_128_intdigest(x.tobytes(), SEED), 2**64) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            new = [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(x) for x in sets], pa.int32()), pa.array([prefix(x, counts, similarity).tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[f"c{i}" for i in range(b.num_columns + len(new))])
-
-    rows = materialize(map_arrow(docs, run, schema).withColumn("__rid", F.monotonically_increasing_id()))
-    best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__rid").alias("rid"))).alias("best")
-    distinct = materialize(rows.groupBy("__d0", "__d1").agg(best, F.first("__n").alias("n"), F.first("__prefix").alias("prefix")).select(F.col("best.rid").alias("node"), "best", "n", "prefix"))
-    texts = rows.select(F.col("__rid").alias("node"), rows[docs.columns[at]].cast("binary").alias("text"))
-    label = components(verified(candidates(distinct, similarity), texts, size, similarity))
-    named = distinct.select("node", "best").join(label, "node", "left").select("best", F.coalesce("label", "node").alias("label"))
-    kept = named.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("__rid"))
-    return rows.join(kept, "__rid", "left_semi").select(*columns_of(docs))
+            sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
+            digests = np.array([_digest(x) for x in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(x) for x in sets], pa.int32()), pa.array([prefix(x, counts, similarity).tobytes() for x in sets], pa.binary())], names=["id", "d0", "d1", "n", "prefix"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))).alias("best")
+    rows = map_arrow(texts, describe, f"id {kind}, d0 bigint, d1 bigint, n int, prefix binary")
+    distinct = materialize(rows.groupBy("d0", "d1").agg(best, F.count("*").alias("rows"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("node", F.monotonically_increasing_id()))
+    label = materialize(components(candidates(distinct, similarity)))
+    found = materialize(distinct.select("node", "d0", "d1").join(label, "node"))
+    wanted = docs.sparkSession.sparkContext.broadcast(_bits_of(found.select("d0")))
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = wanted.value
+        for b in batches:
+            out: dict[tuple[int, int], bytes] = {}
+            for t in b.column(0).to_pylist():
+                x = shingle_set(t, size)
+                d = _digest(x)
+                if flags[d[0] % _BITS]:
+                    out[d] = x.tobytes()
+            for lo in range(0, len(out), 200):
+                part = list(out.items())[lo : lo + 200]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.int64()), pa.array([v for _, v in part], pa.binary())], names=["d0", "d1", "shingles"])
+
+    sets = map_arrow(texts.select("text"), sets_of, "d0 bigint, d1 bigint, shingles binary").dropDuplicates(["d0", "d1"])
+    sets = materialize(sets.join(found, ["d0", "d1"]).select("label", "node", "shingles"))
+    group = components(verified(sets, similarity))
+    named = distinct.select("node", "best", "d0", "d1", "rows").join(group, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min(F.struct("best", "node")).alias("least"))
+    kept = least.select(F.col("least.node").alias("node")).join(named, "node").select(F.col("best.id").alias("__id"), F.col("d0").alias("__d0"), F.col("d1").alias("__d1"), F.col("rows").alias("__rows"))
+    kept = materialize(kept)
+    for t in (sets, found, label, distinct):
+        discard(t)
+    base, schema = extended(docs, __d0="bigint", __d1="bigint")
+    at = base.columns.index(text_col)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests = np.array([_digest(shingle_set(None if t is None else t.encode(), size)) for t in b.column(at).to_pylist()], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=[f"c{i}" for i in range(b.num_columns + 2)])
+
+    marked = map_arrow(base, mark, schema)
+    mine = marked.withColumnRenamed("__d0", "__m0").withColumnRenamed("__d1", "__m1")
+    own = columns_of(base)
+    same = own[base.columns.index(id_col)]
+    joined = mine.join(kept, (F.col("__m0") == F.col("__d0")) & (F.col("__m1") == F.col("__d1")) & same.eqNullSafe(F.col("__id")))
+    once = joined.filter("__rows = 1").select(*own)
+    again = joined.filter("__rows > 1").dropDuplicates(["__m0", "__m1"]).select(*own)
+    return once.unionAll(again)
 
 
 def hex_of(fp: Column) -> Column:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from ketflow.llm import simhash as S
@@ -41,7 +42,9 @@ def test_fingerprints_and_classes(spark):
     assert S.classes(messy.empty(spark)).count() == 0
 
 
-def test_no_link_is_lost(spark):
+@pytest.mark.parametrize("bucket", [S.BUCKET, 40])
+def test_no_link_is_lost(spark, bucket, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET", bucket)  # 40: buckets in parts
     r = random.Random(4)
     base = [r.getrandbits(64) for _ in range(60)]
     fps = list(dict.fromkeys([*base, *(b ^ sum(1 << x for x in r.sample(range(64), r.randint(1, 5))) for b in base for _ in range(6)), 0, 2**64 - 1]))
@@ -56,6 +59,39 @@ def test_no_link_is_lost(spark):
         assert ((x.a ^ x.b) % 2**64).bit_count() <= 64
 
 
+def test_a_bucket_of_many_is_cut_and_loses_no_link(spark):
+    rng = np.random.default_rng(6)  # 50,000 fingerprints that all agree on the lowest 16 bits, in pairs within 3 bits
+    base = np.unique(rng.integers(0, 2**48, 25_000).astype(np.uint64)) << np.uint64(16)
+    near = base ^ (np.uint64(1) << rng.integers(16, 64, len(base)).astype(np.uint64))
+    fps = np.unique(np.concatenate([base, near])).view(np.int64)
+    edges = S.links(spark.createDataFrame([(x, x) for x in fps.tolist()], "node bigint, w0 bigint"))
+    label = {x.node: x.label for x in components(edges).collect()}
+    assert all(label[a] == label[b] for a, b in zip(base.view(np.int64).tolist(), near.view(np.int64).tolist(), strict=True))
+
+
+def test_hot_keys_are_linked_before_the_shuffle():
+    rng = np.random.default_rng(3)
+    n = rng.integers(50, 400, 500)
+    prefixes = [np.array([7, 1000 + i], np.int64) for i in range(500)]  # key 7 is in all
+    rows, edges = S._spread(np.arange(500), n, prefixes, 0.8)
+    ends = rows[:, rows[0] == 7]
+    assert ends.shape[1] < 20 and (ends[3] == -1).all() and rows.shape[1] == 500 + ends.shape[1]
+    parent = list(range(500))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in [*edges.tolist(), *S._chains(ends[0], ends[1], ends[2], 0.8).tolist()]:
+        assert min(n[a], n[b]) >= 0.8 * max(n[a], n[b])
+        parent[find(a)] = find(b)
+    for a in range(500):
+        for b in range(a):
+            if min(n[a], n[b]) >= 0.8 * max(n[a], n[b]):
+                assert find(a) == find(b)
+
+
 def test_bk_tree_finds_the_brute_force_set():
     rng = np.random.default_rng(1)
     items = rng.integers(0, 2**63, (300, 1)).astype(np.uint64)
@@ -101,6 +137,19 @@ def test_keep_one_keeps_unlike_texts_that_share_a_repeated_line(spark):
     assert sorted(r.doc_id for r in S.keep_one(messy.documents(spark, data)).collect()) == list(range(6))
 
 
+def test_a_large_group_of_near_copies_leaves_one(spark):
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    data = []
+    for k in range(1500):
+        words = [*base]
+        for i in r.sample(range(200), r.randint(0, 4)):
+            words[i] = f"e{k}x{i}"
+        data.append((k, " ".join(words)))
+    data += [(5000 + k, messy.prose(500 + k, 60)) for k in range(20)] + [(k, data[0][1]) for k in range(3000, 3400)]
+    assert sorted(x.doc_id for x in S.keep_one(messy.documents(spark, data)).collect()) == [0, *range(5000, 5020)]
+
+
 def test_keep_one_equals_brute_force_near_the_limit_and_in_a_large_group(spark):
     r = random.Random(11)
     data = []
