@@ -65,6 +65,8 @@ _ALL_PAIRS = 32
 _BATCH_ROWS = 400_000
 #: Most texts of a component in one task, or in each half of one, and the leaders of larger ones.
 _TILE, _HEADS = 128, 8
+#: Words of the texts that are hashed together.
+_GROUP_WORDS = 200_000
 #: Bits of the set of candidates' digests that is broadcast (4 MB).
 _BITS = 1 << 25
 
@@ -271,9 +273,39 @@ def classes(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str = "doc_
     return salted_join(rows, component, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text."""
-    return np.unique(shingle_hashes(text, size))
+def _mix(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a run of words from that of the run without its last word, and the last word."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B185EBCA87) + word
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return h ^ (h >> np.uint64(29))
+
+
+def shingle_sets(texts: list[bytes | None], size: int = 5) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text (of all words if there are fewer); distinct words are hashed once a group of texts."""
+    at = 0
+    while at < len(texts):
+        local: dict[bytes, int] = {}
+        lengths, ids = [], []
+        while at < len(texts) and len(ids) < _GROUP_WORDS:
+            words = (texts[at] or b"").translate(_LOWER).split()
+            ids += [local.setdefault(w, len(local)) for w in words]
+            lengths.append(len(words))
+            at += 1
+        hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in local], np.uint64)
+        word = hashes[np.array(ids, np.int64)]
+        runs = word[: max(0, len(word) - size + 1)]
+        for k in range(1, size):
+            runs = _mix(runs, word[k : k + len(runs)])
+        start = 0
+        for n in lengths:
+            if n >= size:
+                yield np.unique(runs[start : start + n - size + 1])
+            else:
+                short = word[start : start + min(n, 1)]
+                for k in range(1, n):
+                    short = _mix(short, word[start + k : start + k + 1])
+                yield short
+            start += n
 
 
 def _least_overlap(n: int, similarity: float) -> int:
@@ -288,8 +320,8 @@ def frequencies(docs: DataFrame, size: int = 5, text_col: str = "text") -> np.nd
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_COUNTERS, np.uint32)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                total[shingle_set(t, size) & np.uint64(_COUNTERS - 1)] += np.uint32(1)
+            for x in shingle_sets(b.column(0).to_pylist(), size):
+                total[x & np.uint64(_COUNTERS - 1)] += np.uint32(1)
         yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([total[k * per : (k + 1) * per].tobytes() for k in range(_SLICES)], pa.binary())], names=["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -599,7 +631,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: st
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for b in batches:
-            sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
+            sets = list(shingle_sets(b.column(1).to_pylist(), size))
             digests = np.array([_digest(x) for x in sets], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(x) for x in sets], pa.int32()), pa.array([prefix(x, counts, similarity).tobytes() for x in sets], pa.binary())], names=["id", "d0", "d1", "n", "prefix"])
 
@@ -615,8 +647,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: st
         flags = wanted.value
         for b in batches:
             out: dict[tuple[int, int], bytes] = {}
-            for t in b.column(0).to_pylist():
-                x = shingle_set(t, size)
+            for x in shingle_sets(b.column(0).to_pylist(), size):
                 d = _digest(x)
                 if flags[d[0] % _BITS]:
                     out[d] = x.tobytes()
@@ -638,7 +669,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: st
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests = np.array([_digest(shingle_set(None if t is None else t.encode(), size)) for t in b.column(at).to_pylist()], np.int64).reshape(-1, 2)
+            digests = np.array([_digest(x) for x in shingle_sets([None if t is None else t.encode() for t in b.column(at).to_pylist()], size)], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=[f"c{i}" for i in range(b.num_columns + 2)])
 
     marked = map_arrow(base, mark, schema)

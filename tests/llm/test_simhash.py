@@ -119,6 +119,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_shingle_sets_differ_as_the_shingles_do():
+    texts = [t.encode() if t else None for _, t in messy.rows() if t is None or len(t) < 50_000] + [b"a b c d e f", b"b c d e f", b"a b c d", b"A  B c\nd"]
+    sets = list(S.shingle_sets(texts, 5))
+    plain = []
+    for t in texts:
+        w = (t or b"").lower().split()
+        plain.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    seen = dict(zip([x for p in plain for x in sorted(p)], [None] * 10**6, strict=False))
+    assert [len(x) for x in sets] == [len(p) for p in plain] and len(np.unique(np.concatenate(sets))) == len(seen)
+    for i in range(len(texts)):
+        for j in range(i):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(plain[i] & plain[j])
+
+
 def test_keep_one(spark):
     base = messy.prose(7, 300).split()
     edited = [*base]
