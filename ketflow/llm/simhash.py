@@ -356,16 +356,24 @@ def _bucket_pairs(node: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: f
     return node[i][ok], node[j][ok]
 
 
-def _chains(key: np.ndarray, node: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
-    """Pairs of neighbours in rows sorted by key and size, broken where sizes are too far apart: they connect all pairs that can be similar enough."""
-    near = (key[:-1] == key[1:]) & (n[:-1] >= similarity * n[1:] - 1e-9)
-    return np.stack([node[:-1][near], node[1:][near]], axis=1)
+def _runs(key: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Place of the first row of each row's run, in rows sorted by key and size: a run breaks where sizes are too far apart to be similar enough."""
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (n[:-1] < similarity * n[1:] - 1e-9)
+    return np.flatnonzero(first)[np.cumsum(first) - 1]
+
+
+def _stars_of_runs(key: np.ndarray, node: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of each row with the first of its run: they connect all pairs that can be similar enough."""
+    root = _runs(key, n, similarity)
+    own = np.flatnonzero(root != np.arange(len(root)))
+    return np.stack([node[own], node[root[own]]], axis=1)
 
 
 def _spread(node: np.ndarray, n: np.ndarray, prefixes: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(rows, edges) of a batch of sets: rows (key, node, n, place) for each prefix shingle.
 
-    Of keys with over ``_ALL_PAIRS`` rows, chains are linked here already, and only their
+    Of keys with over ``_ALL_PAIRS`` rows, runs are linked here already, and only their
     ends go on (with place -1), so a hot key costs a few rows a batch.
     """
     lengths = np.array([len(p) for p in prefixes], np.int64)
@@ -376,9 +384,10 @@ def _spread(node: np.ndarray, n: np.ndarray, prefixes: list[np.ndarray], similar
         return rows, np.empty((0, 2), np.int64)
     part = rows[:, hot]
     part = part[:, np.lexsort((part[1], part[2], part[0]))]
-    edges = _chains(part[0], part[1], part[2], similarity)
-    linked = (part[0, :-1] == part[0, 1:]) & (part[2, :-1] >= similarity * part[2, 1:] - 1e-9)
-    ends = part[:, ~(np.r_[False, linked] & np.r_[linked, False])]
+    edges = _stars_of_runs(part[0], part[1], part[2], similarity)
+    root = _runs(part[0], part[2], similarity)
+    at = np.arange(len(root))
+    ends = part[:, (root == at) | np.r_[root[1:] != root[:-1], True]]
     ends[3] = -1
     return np.concatenate([rows[:, ~hot], ends], axis=1), np.unique(np.sort(edges, axis=1), axis=0)
 
@@ -419,7 +428,7 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
             large = count > _ALL_PAIRS
             large[inverse[at < 0]] = True
             many = large[inverse]
-            out.append(_chains(key[many], node[many], n[many], similarity))
+            out.append(_stars_of_runs(key[many], node[many], n[many], similarity))
             for lo, k in zip(first[~large & (count > 1)].tolist(), count[~large & (count > 1)].tolist(), strict=True):
                 out.append(np.stack(_bucket_pairs(node[lo : lo + k], n[lo : lo + k], at[lo : lo + k], similarity), axis=1))
             pairs = np.concatenate(out)
@@ -438,8 +447,9 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
                 yield answer(np.concatenate([rows[:, :last], np.where(np.arange(4)[:, None] == 3, np.minimum(rows[:, last:], -1), rows[:, last:])], axis=1))
                 own = np.flatnonzero((rows[0] == rows[0, -1]) & (rows[3] != -2))
                 tail, held = (rows[:, own[-1:]], held[:, :0]) if len(own) else (None, held[:, :0])
-                if tail is not None:
-                    tail[3] = -1
+                if tail is not None:  # its size, and the first node of its run
+                    run = rows[:, own]
+                    tail[1], tail[3] = run[1, _runs(run[0], run[2], similarity)[-1]], -1
             else:
                 yield answer(rows[:, :last])
                 held, tail = rows[:, last:], None

@@ -83,7 +83,7 @@ def test_hot_keys_are_linked_before_the_shuffle():
             x = parent[x]
         return x
 
-    for a, b in [*edges.tolist(), *S._chains(ends[0], ends[1], ends[2], 0.8).tolist()]:
+    for a, b in [*edges.tolist(), *S._stars_of_runs(ends[0], ends[1], ends[2], 0.8).tolist()]:
         assert min(n[a], n[b]) >= 0.8 * max(n[a], n[b])
         parent[find(a)] = find(b)
     for a in range(500):
