@@ -84,8 +84,10 @@ def test_hot_keys_are_linked_before_the_shuffle():
         return x
 
     for a, b in [*edges.tolist(), *S._stars_of_runs(ends[0], ends[1], ends[2], 0.8).tolist()]:
-        assert min(n[a], n[b]) >= 0.8 * max(n[a], n[b])
         parent[find(a)] = find(b)
+    order = np.argsort(n, kind="stable")
+    for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):  # a component ends where sizes are too far apart
+        assert (find(a) == find(b)) == (n[a] >= 0.8 * n[b])
     for a in range(500):
         for b in range(a):
             if min(n[a], n[b]) >= 0.8 * max(n[a], n[b]):
