@@ -9,6 +9,7 @@ places on both sides; rows with both parts below 1e-12 are left out on both side
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +24,9 @@ from ketflow.operators import sqltext as X
 from ketflow.plans import circuit as C
 from ketflow.plans import generators as gen
 from ketflow.plans import rewrite as R
-from ketflow.session import Config, Session, run_sql
+from ketflow.session import Config, InjectedCrash, Session, run_sql, shared_folder
 from ketflow.sources import chunks, qasm
+from ketflow.sources import store as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -323,6 +325,83 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("state_versions", lambda s, d: _versions(s, d).groupBy("version").agg(F.count("*").alias("amplitudes"), (F.round(F.sum("w"), 4) + 0.0).alias("weight")), "SELECT event_type AS version, count(DISTINCT user_id % 32)::BIGINT AS amplitudes, round(sum(value), 4) + 0.0 AS weight FROM events GROUP BY 1")
 
 
+# --- stores, logs and recovery, through the classes that durable runs use ----
+
+
+def _base(spark: SparkSession) -> str:
+    """A folder of its own for one query's files."""
+    return f"{shared_folder(spark).rstrip('/')}/ketflow-catalog-{uuid.uuid4().hex}"
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> S.StateStore:
+    """Two versions of a state."""
+    store = S.StateStore(spark, _base(spark), "catalog")
+    store.save(encoded(spark, sf_dir), 0)
+    store.save(encoded(spark, sf_dir, "orders"), 1)
+    return store
+
+
+def _through_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _stored(spark, sf_dir)
+    path = f"{store.base}/csv"
+    store.export_csv(store.load(1), path)
+    return out(store.import_csv(path))
+
+
+def _versions_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _stored(spark, sf_dir)
+    listed = spark.createDataFrame([(v,) for v in store.versions()], "state_version int")
+    sums = store.all_versions().groupBy("state_version").agg(F.count("*").alias("amplitudes"), r9(F.sum(F.col("real") * F.col("real"))).alias("norm"))
+    return listed.join(sums, "state_version")
+
+
+def _through_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks written with a manifest, read back as the manifest says."""
+    base = _base(spark)
+    chunks.to_blocks(encoded(spark, sf_dir), N, 16).write.parquet(f"{base}/blocks")
+    chunks.write_manifest(spark, f"{base}/manifest.json", chunks.manifest(N, 16, [f"blocks/chunk={k}" for k in range((1 << N) // 16)]))
+    m = chunks.read_manifest(spark, f"{base}/manifest.json")
+    back = chunks.from_blocks(spark.read.parquet(f"{base}/blocks"), m["chunk_size"])
+    return back.select("idx", (F.round("real", 5) + 0.0).alias("real"), (F.round("imag", 5) + 0.0).alias("imag"))
+
+
+def _crashed(spark: SparkSession, sf_dir: str, resumed: bool) -> tuple[Config, DataFrame | None]:
+    """A durable run that stops after its second step, and its state if it is resumed."""
+    base = _base(spark)
+    config = Config(base_path=base, run_id="catalog", fusion=False, local_qubits=3, cut_every=3, crash_after=2, checksums=True)
+    try:
+        Session(spark, config).run(_MIXED, encoded(spark, sf_dir), durable=True)
+    except InjectedCrash:
+        pass
+    if not resumed:
+        return config, None
+    again = Config(base_path=base, run_id="catalog", fusion=False, local_qubits=3, cut_every=3, checksums=True)
+    return again, Session(spark, again).run(_MIXED, encoded(spark, sf_dir), durable=True).state
+
+
+def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config, _ = _crashed(spark, sf_dir, False)
+    plan = Session(spark, config).plan(_MIXED)
+    point = S.recover(spark, config.base_path, "catalog", plan.hash, len(plan.cuts))
+    return spark.createDataFrame([(point.version, point.next_step, point.complete)], "version int, next_step int, complete boolean")
+
+
+_STEPS = len(R.plan(_MIXED, fusion=False, k=3, cut_every=3).cuts)
+add("store_parquet", lambda s, d: out(_stored(s, d).load(0)), f"WITH s0 AS {encoded_sql()} {out_sql('s0')}")
+add("store_csv", _through_csv, f"WITH s0 AS {encoded_sql('orders')} {out_sql('s0')}")
+add("store_versions", _versions_listed, f"WITH a AS {encoded_sql()}, b AS {encoded_sql('orders')} SELECT 0::INT AS state_version, count(*)::BIGINT AS amplitudes, round(sum(real * real), 9) + 0.0 AS norm FROM a UNION ALL SELECT 1::INT, count(*)::BIGINT, round(sum(real * real), 9) + 0.0 FROM b")
+add("store_chunks", _through_chunks, ORACLES["dense_blocks"])
+add("store_zero_chunks", lambda s, d: out(chunks.from_blocks(chunks.zero_blocks(s, N, 16), 16)), f"WITH s0 AS {ZERO_SQL} {out_sql('s0')}")
+add("durable_resumed", lambda s, d: out(_crashed(s, d, True)[1]), circuit_sql(_MIXED, encoded_sql()))
+add("durable_log", lambda s, d: S.Log(s, _crashed(s, d, True)[0].base_path).status().select("step_start", "step_end", "status"), f"SELECT i::INT AS step_start, (i + 1)::INT AS step_end, 'COMMITTED' AS status FROM range({_STEPS}) t(i)")
+add("durable_pending", lambda s, d: S.Log(s, _crashed(s, d, False)[0].base_path).pending("catalog").select("step_start", "status"), "SELECT 1::INT AS step_start, 'PENDING' AS status")
+add("durable_checkpoints", lambda s, d: S.Checkpoints(s, _crashed(s, d, True)[0].base_path).all().select("state_version", "last_step", F.col("checksum").isNotNull().alias("checked")), f"SELECT (i + 1)::INT AS state_version, i::INT AS last_step, true AS checked FROM range({_STEPS}) t(i)")
+add("durable_recovered", _recovered, "SELECT 1::INT AS version, 1::INT AS next_step, false AS complete")
+
+_SQL_LONG = C.of(3, [g for k in range(5) for g in (("H", (k % 3,), {}), ("CX", (k % 3, (k + 1) % 3), {}), ("T", ((k + 2) % 3,), {}), ("RY", ((k + 1) % 3,), {"theta": 0.3 + k}))])
+add("sql_path_20", lambda s, d: out(run_sql(s, _SQL_LONG, "state_20").filter(f"version = {len(_SQL_LONG.gates)}").select("idx", "real", "imag")), circuit_sql(_SQL_LONG, ZERO_SQL))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amplitude-encode lineitem, then the Fourier transform on six qubits."""
     return out(Session(spark).run(gen.qft(N), encoded(spark, sf_dir)).state)

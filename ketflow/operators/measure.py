@@ -87,16 +87,26 @@ def cumulative(state: DataFrame, buckets: int = 1024) -> DataFrame:
 def pick(state: DataFrame, draws: DataFrame, buckets: int = 1024) -> DataFrame:
     """(draw_id, idx) for draws (draw_id, u): the first index whose cumulative probability exceeds u.
 
-    Draws meet their bucket by the bucket's own range (a join on the bucket number), then
-    the rows of that bucket only.  A draw beyond the total gets the largest index.
+    Draws and cumulative rows are merged by value, in cells of equal probability, and each
+    draw takes the last index seen in falling order; no pairs are made, and a state of few
+    indices still spreads its draws.  A cell without a greater row takes the first of the
+    next cell that has one (one row a cell is broadcast).  A draw beyond the total gets the
+    largest index.
     """
-    cdf = cumulative(state, buckets)
-    ranges = cdf.groupBy("bucket").agg(F.max("cumulative").alias("upto"), F.max("idx").alias("last"))
-    edges = Window.orderBy("bucket")
-    ranges = ranges.select("bucket", F.coalesce(F.lag("upto").over(edges), F.lit(0.0)).alias("low"), "upto", F.max("last").over(Window.partitionBy()).alias("top"), F.lead("bucket").over(edges).isNull().alias("final"))
-    placed = draws.join(F.broadcast(ranges), (F.col("u") >= F.col("low")) & ((F.col("u") < F.col("upto")) | F.col("final")))
-    hit = placed.join(cdf, "bucket").filter(F.col("cumulative") > F.col("u")).groupBy("draw_id").agg(F.min("idx").alias("idx"))
-    return placed.select("draw_id", "top").join(hit, "draw_id", "left").select("draw_id", F.coalesce("idx", "top").alias("idx"))
+    cdf = cumulative(state, buckets).select("idx", "cumulative")
+    ends = cdf.agg(F.max("cumulative").alias("total"), F.max("idx").alias("top"))
+    cell = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(F.col("v") / F.col("total") * buckets))).cast("int").alias("cell")
+    none = F.lit(None)
+    both = cdf.select(F.col("cumulative").alias("v"), F.lit(1).alias("kind"), "idx", none.cast(draws.schema["draw_id"].dataType).alias("draw_id"))
+    both = both.unionByName(draws.select(F.col("u").alias("v"), F.lit(0).alias("kind"), none.cast("long").alias("idx"), "draw_id"))
+    placed = both.join(F.broadcast(ends)).select(cell, "v", "kind", "idx", "draw_id", "top")
+    falling = Window.partitionBy("cell").orderBy(F.desc("v"), "kind", F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = placed.withColumn("seen", F.last("idx", ignorenulls=True).over(falling)).filter("kind = 0")
+    firsts = placed.filter("kind = 1").groupBy("cell").agg(F.min(F.struct("v", "idx"))["idx"].alias("first"))
+    every = state.sparkSession.range(buckets).select(F.col("id").cast("int").alias("cell")).join(firsts, "cell", "left")
+    after = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # ``buckets`` rows
+    following = every.select("cell", F.last("first", ignorenulls=True).over(after).alias("following"))
+    return seen.join(F.broadcast(following), "cell").select("draw_id", F.coalesce("seen", "following", "top").alias("idx"))
 
 
 def sample(state: DataFrame, n_samples: int, seed: int = 0, qubits=None) -> DataFrame:

@@ -286,44 +286,55 @@ def batches(circuit: Circuit, size: int, start: int = 0) -> list[Batch]:
 
 # --- partitioning into sub-circuits -----------------------------------------
 
-STRATEGIES = ("level", "greedy", "balanced", "load", "locality", "hybrid")
+STRATEGIES = ("sequence", "rows", "qubits", "exchanges")
 
 
-def weight(g: Gate) -> float:
-    """Cost model: one for each qubit, half as much again for gates outside the Clifford group."""
-    clifford = G.canonical(g.name) in {"H", "X", "Y", "Z", "S", "SDG", "SX", "I", "CX", "CY", "CZ", "SWAP"}
-    return len(g.qubits) * (1.0 if clifford else 1.5)
+def rows_moved(g: Gate) -> int:
+    """Rows that a gate writes for each row it reads: one if it only rewrites it; a general gate writes 2^targets and sends them through an exchange, twice as dear."""
+    _, targets, u = g.parts()
+    return 1 if G.class_of(u) in "DP" else 2 << len(targets)
 
 
-def partition(circuit: Circuit, parts: int, strategy: str = "level") -> list[int]:
-    """Part of each gate.
+def moving_qubits(g: Gate) -> set[int]:
+    """Qubits whose bits must be local for the gate to run without an exchange."""
+    _, targets, u = g.parts()
+    return set() if G.class_of(u) == "D" else set(targets)
 
-    level: gates of a layer go to the part with the fewest gates; balanced and load: with
-    the least weight (balanced goes heaviest first inside a layer); greedy and locality:
-    to the part that shares most qubits, ties to the lightest; hybrid: a score of 0.6 for
-    low load and 0.4 for shared qubits.
+
+def partition(circuit: Circuit, parts: int, strategy: str = "sequence") -> list[int]:
+    """Part of each gate, by the rows that the parts move.
+
+    sequence: consecutive gates, cut where the rows moved so far pass the next part's
+    share (parts run one after the other); rows: the gates that move most first, each to
+    the part that moves least; qubits: in program order, to the part that has to touch the
+    fewest further qubits among those that are not above their share; exchanges: to the
+    part where rows moved, counted again for every qubit that becomes moving there, stay least.
     """
     if parts < 1 or strategy not in STRATEGIES:
         raise ValueError(f"parts must be at least 1 and the strategy one of {STRATEGIES}")
-    out = [0] * len(circuit.gates)
-    count, load = [0] * parts, [0.0] * parts
-    used: list[set[int]] = [set() for _ in range(parts)]
-    for layer in levelize(circuit):
-        for g in sorted(layer, key=weight, reverse=True) if strategy == "balanced" else layer:
-            shared = [len(used[k].intersection(g.qubits)) for k in range(parts)]
-            key = {
-                "level": lambda k: count[k],
-                "balanced": lambda k: load[k],
-                "load": lambda k: load[k],
-                "greedy": lambda k: (-shared[k], count[k]),
-                "locality": lambda k: (-shared[k], load[k]),
-                "hybrid": lambda k: -(0.6 / (1 + load[k]) + 0.4 * (shared[k] / len(g.qubits) + 0.1)),
-            }[strategy]
-            k = min(range(parts), key=key)
-            out[g.seq] = k
-            count[k] += 1
-            load[k] += weight(g)
-            used[k].update(g.qubits)
+    moved = [rows_moved(g) for g in circuit.gates]
+    share = max(1.0, sum(moved) / parts)
+    out, load = [0] * len(moved), [0.0] * parts
+    if strategy == "sequence":
+        done = 0
+        for g, m in zip(circuit.gates, moved, strict=True):
+            out[g.seq] = min(parts - 1, int((done + m / 2) / share))
+            done += m
+        return out
+    touched: list[set[int]] = [set() for _ in range(parts)]
+    order = sorted(circuit.gates, key=lambda g: (-moved[g.seq], g.seq)) if strategy == "rows" else circuit.gates
+    for g in order:
+        own = moving_qubits(g) if strategy == "exchanges" else set(g.qubits)
+        further = [len(own - t) for t in touched]
+        if strategy == "rows":
+            k = min(range(parts), key=lambda i: load[i])
+        elif strategy == "qubits":
+            k = min((i for i in range(parts) if load[i] <= share), key=lambda i: (further[i], load[i]), default=0)
+        else:
+            k = min(range(parts), key=lambda i: load[i] + moved[g.seq] * (1 + further[i]))
+        out[g.seq] = k
+        load[k] += moved[g.seq] * (1 + further[k] if strategy == "exchanges" else 1)
+        touched[k] |= own
     return out
 
 
@@ -339,7 +350,7 @@ def partition_stats(circuit: Circuit, part_of: list[int]) -> dict:
     used = [qubits_used(x) for x in own]
     return {
         "sizes": [len(x) for x in own],
-        "loads": [sum(map(weight, x)) for x in own],
+        "rows_moved": [sum(map(rows_moved, x)) for x in own],
         "qubits": [sorted(x) for x in used],
         "overlap": {(a, b): len(used[a] & used[b]) for a in range(n) for b in range(n) if a != b},
     }

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,25 +163,42 @@ class Session:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` to the shared folder; a folder of its own is set only where none is."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/ketflow-checkpoints-{os.getuid()}")
+    """``checkpoint()`` to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder; a local session without one, as in tests, gets one, on a cluster that is an error."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        told = spark.conf.get("spark.checkpoint.dir", None)
+        if not told and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(told or f"file:///tmp/ketflow-checkpoints-{os.getuid()}")
+    return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
+
+
 def probability_of(result: Result, qubit: int, value: int = 1) -> float:
     return M.qubit_probability(result.state, qubit, value).first()[0]
 
 
-def run_sql(spark: SparkSession, circuit: C.Circuit | dict, view: str = "state") -> DataFrame:
-    """The SQL path: one SELECT a gate over a versioned temp view; all versions in the end."""
+def run_sql(spark: SparkSession, circuit: C.Circuit | dict, view: str = "state", cut_every: int = 4) -> DataFrame:
+    """The SQL path: one SELECT a gate over a versioned temp view; all versions in the end.
+
+    The view holds the last version only, and every ``cut_every`` gates it is written, so
+    the plan of a version stays that short and the whole plan grows with the gates, no faster.
+    """
     from ketflow.operators.sqltext import apply_sql
 
     circuit = C.parse(circuit) if isinstance(circuit, dict) else circuit
-    versions = initial_state(spark).select(F.lit(0).alias("version"), "idx", "real", "imag")
-    versions.createOrReplaceTempView(view)
+    last = initial_state(spark).select(F.lit(0).alias("version"), "idx", "real", "imag")
+    versions = [last]
     for v, g in enumerate(circuit.gates):
-        versions = versions.unionByName(spark.sql(apply_sql(g, v, view)))
-        versions.createOrReplaceTempView(view)
-    return versions
+        last.createOrReplaceTempView(view)
+        last = spark.sql(apply_sql(g, v, view))
+        if (v + 1) % cut_every == 0:
+            last = cut_lineage(last)
+        versions.append(last)
+    last.createOrReplaceTempView(view)
+    return reduce(DataFrame.unionByName, versions)

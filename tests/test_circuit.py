@@ -138,8 +138,20 @@ def test_plan_hash_covers_the_options():
     assert len({R.plan(c).hash, R.plan(c, fusion=False).hash, R.plan(c, k=3).hash, R.plan(gen.qft(5)).hash}) == 4
 
 
-def test_qubit_map():
-    m = R.QubitMap.identity(4)
-    m.swap_phys(0, 3)
-    assert m.to_list() == [3, 1, 2, 0] and m.phys(0) == 3 and m.logical(0) == 3 and m.local_set(2) == {3, 1} and not m.is_identity()
-    assert m.swaps_to({0, 1}, 2) == [(0, 3)]
+def test_stages_tell_their_bits_and_what_crosses():
+    todo = R.stages([R.lower(g) for g in gen.hadamard_wall(6).gates], 6, 3)
+    assert all(sorted(R.layout(st, 6)) == list(range(6)) and set(R.layout(st, 6)[:3]) == st.local for st in todo)
+    assert all(len(come) == len(go) and come.isdisjoint(go) for come, go in R.crossings(todo)) and len(R.crossings(todo)) == len(todo) - 1
+
+
+def test_partitions_follow_the_rows_moved():
+    c = C.of(4, [("H", (0,), {}), ("T", (0,), {}), ("CX", (0, 1), {}), ("H", (2,), {}), ("RXX", (1, 2), {"theta": 0.1}), ("X", (3,), {})])
+    assert [C.rows_moved(g) for g in c.gates] == [4, 1, 1, 4, 8, 1]
+    assert [C.moving_qubits(g) for g in c.gates] == [{0}, set(), {1}, {2}, {1, 2}, {3}]
+    seq = C.partition(c, 2, "sequence")
+    assert seq == sorted(seq) and C.Dag.build(c).is_acyclic_partition(seq)
+    loads = C.partition_stats(c, C.partition(c, 2, "rows"))["rows_moved"]
+    assert sorted(loads) == [9, 10]
+    two = C.of(4, [("H", (0,), {}), ("H", (2,), {}), ("CX", (0, 1), {}), ("CX", (2, 3), {})])
+    part = C.partition(two, 2, "qubits")
+    assert part[0] == part[2] and part[1] == part[3] and part[0] != part[1]
