@@ -117,6 +117,8 @@ def extended(df: DataFrame, **new: str) -> tuple[DataFrame, object]:
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
     """Join with rows of ``one`` that are unique by ``key``; rows of ``many`` that share a key are spread over ``salts`` tasks by column ``by``."""
+    if salts == 1:
+        return many.join(one, key, how)
     left = many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     right = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "__salt"], how).drop("__salt")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from ketflow.llm import graph
 from ketflow.llm import simhash as S
 from ketflow.llm.graph import components
 from tests.llm import messy
@@ -114,7 +115,9 @@ def test_large_clusters_join_without_all_pairs():
     assert len(stars) == len(nodes) - 1 and {r for _, r in stars} == {0}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("salt_from", [0, 1 << 20])
+def test_components(spark, salt_from, monkeypatch):
+    monkeypatch.setattr(graph, "SALT_FROM", salt_from)
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (102, 101), (200, 201), (200, 201)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert {got[i] for i in range(51)} == {0} and {got[i] for i in (100, 101, 102)} == {100} and got[201] == 200
