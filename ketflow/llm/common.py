@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -9,6 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +101,38 @@ def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     Columns are passed by place under plain names, as ``mapInArrow`` cannot take names with dots.
     """
     ship(df.sparkSession)
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(fn, schema)
+    owner = fn.__module__
+
+    def run(batches):
+        take_over(owner)
+        yield from fn(batches)
+        give_back()
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+
+#: The module whose tasks this Python worker runs, and what empties the caches that modules keep between tasks.
+_owner: str | None = None
+CACHES: list = []
+
+
+def take_over(owner: str) -> None:
+    """Workers outlive tasks: the first task of another operator drops the caches of the one before."""
+    global _owner
+    if _owner not in (None, owner):
+        for clear in CACHES:
+            clear()
+        gc.collect()
+        give_back()
+    _owner = owner
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def columns_of(df: DataFrame) -> list[Column]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ketflow.llm import pieces
-from ketflow.llm.common import extended, map_arrow
+from ketflow.llm.common import CACHES, extended, map_arrow
 from ketflow.llm.langid import Lattice
 
 N_BEST = 4
@@ -282,6 +282,9 @@ def codec(path: str | None = None) -> Codec:
     return Codec(path)
 
 
+CACHES.append(codec.cache_clear)
+
+
 def encode(docs: DataFrame, n: int = N_BEST, path: str | None = None, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` plus ``ids`` (null for a null text) and the ``scores`` of the n best segmentations."""
     docs, schema = extended(docs, ids="array<int>", scores="array<double>")

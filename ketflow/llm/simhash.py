@@ -65,6 +65,8 @@ _ALL_PAIRS = 32
 _BATCH_ROWS = 400_000
 #: Most texts of a component in one task, or in each half of one, and the leaders of larger ones.
 _TILE, _HEADS = 128, 8
+#: Members of a large component that meet its leaders in one task.
+_PART = 1 << 10
 #: Words of the texts that are hashed together.
 _GROUP_WORDS = 200_000
 #: Bits of the set of candidates' digests that is broadcast (4 MB).
@@ -548,7 +550,8 @@ def verified(sets: DataFrame, similarity: float) -> DataFrame:
     ``sets`` has columns label (component of candidates), node (unique) and shingles (its
     set).  A component of up to ``_TILE`` texts meets in one task.  In a larger one, all
     members are first compared with its ``_HEADS`` heads (members of least hash), each on
-    its own; those that the heads connect need not meet each other.  The rest is cut into
+    its own, in parts of about ``_PART`` members that the heads are sent to once; those that
+    the heads connect need not meet each other.  The rest is cut into
     chunks, and each meets each chunk of the whole component.
     """
     counts = sets.groupBy("label").agg(F.count("*").alias("members"))
@@ -563,26 +566,36 @@ def verified(sets: DataFrame, similarity: float) -> DataFrame:
     first = large.select("label", "node", order.alias("o"), F.pmod(F.xxhash64("node"), F.lit(64)).alias("part"))
     for by in (["label", "part"], ["label"]):
         first = first.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("o"))).filter(F.col("r") <= _HEADS)
-    heads = large.join(first.select("node", (F.col("r") - 1).alias("head")), "node").select("label", "head", F.col("node").alias("head_node"), F.col("shingles").alias("head_set"))
-    heads = heads.groupBy("label").agg(F.collect_list(F.struct("head", "head_node", "head_set")).alias("heads"))  # _HEADS of a label
+    # members in parts of about _PART, and the heads once before each part
+    parts = F.ceil(F.col("members") / _PART).cast("int")
+    head = (F.col("r") - 1).alias("head")
+    heads = large.join(first.select("node", head), "node").select("label", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "head", "node", "shingles", "members")
+    placed = large.select("label", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.lit(_HEADS).alias("head"), "node", "shingles", "members")
 
     def to_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, []
         for b in batches:
+            own = b.column(2).to_numpy() == _HEADS
             masks, near = [], []
-            for node, x, all_heads in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
-                own = np.frombuffer(x, np.uint64)
+            for label, part, head, node, x in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4), strict=True):
+                mine = np.frombuffer(x.as_buffer(), np.uint64)
+                if (label, part) != at:
+                    at, known = (label, part), []
+                if head < _HEADS:
+                    known.append((head, node, mine.copy()))
+                    continue
                 hits = []
-                for h in all_heads:
-                    other = np.frombuffer(h["head_set"], np.uint64)
-                    shared = len(np.intersect1d(own, other, assume_unique=True))
-                    if shared >= similarity * (len(own) + len(other) - shared) - 1e-9:
-                        hits.append((h["head"], h["head_node"]))
+                for k, other_node, other in known:
+                    shared = len(np.intersect1d(mine, other, assume_unique=True))
+                    if shared >= similarity * (len(mine) + len(other) - shared) - 1e-9:
+                        hits.append((k, other_node))
                 masks.append(sum(1 << k for k, _ in hits))
                 near.append([v for _, v in hits if v != node])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(masks, pa.int32()), pa.array(near, pa.list_(pa.int64()))], names=["label", "node", "shingles", "members", "mask", "near"])
+            kept = b.filter(pa.array(own))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(3), kept.column(4), kept.column(5), pa.array(masks, pa.int32()), pa.array(near, pa.list_(pa.int64()))], names=["label", "node", "shingles", "members", "mask", "near"])
 
-    met = salted_join(large.select("label", "node", "shingles", "members"), heads, "label", "node", salts=64).select("label", "node", "shingles", "members", "heads")
-    met = materialize(map_arrow(met, to_heads, "label bigint, node bigint, shingles binary, members bigint, mask int, near array<bigint>"))
+    met = heads.unionByName(placed).repartition("label", "part").sortWithinPartitions("label", "part", "head")
+    met = materialize(map_arrow(met.select("label", "part", "head", "node", "shingles", "members"), to_heads, "label bigint, node bigint, shingles binary, members bigint, mask int, near array<bigint>"))
     edges = edges.union(met.select(F.col("node").alias("a"), F.explode("near").alias("b")))
     placed = salted_join(met, _main_heads(met.filter("mask > 0").select("label", "mask")), "label", "node", "left", salts=64)
     placed = placed.withColumn("rest", F.col("mask").bitwiseAND(F.coalesce("main", F.lit(0))) == 0)
@@ -596,14 +609,14 @@ def verified(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _bits_of(digests: DataFrame) -> np.ndarray:
-    """Which of ``_BITS`` hash classes the digests (one column of longs) fall into."""
+    """Which of ``_BITS`` hash classes the digests (one column of longs) fall into, eight classes a byte."""
     per = _BITS // 8 // _SLICES
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(_BITS, bool)
+        packed = np.zeros(_BITS // 8, np.uint8)
         for b in batches:
-            flags[b.column(0).to_numpy().view(np.uint64) % np.uint64(_BITS)] = True
-        packed = np.packbits(flags)
+            i = (b.column(0).to_numpy().view(np.uint64) % np.uint64(_BITS)).astype(np.int64)
+            np.bitwise_or.at(packed, i >> 3, (1 << (i & 7)).astype(np.uint8))
         some = [k for k in range(_SLICES) if packed[k * per : (k + 1) * per].any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[k * per : (k + 1) * per].tobytes() for k in some], pa.binary())], names=["slice", "bits"])
 
@@ -618,7 +631,7 @@ def _bits_of(digests: DataFrame) -> np.ndarray:
     schema = "slice int, bits binary"
     for r in map_arrow(map_arrow(digests, mark, schema).repartition("slice"), add, schema).collect():
         out[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(out).view(bool)
+    return out
 
 
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -659,7 +672,8 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: st
             out: dict[tuple[int, int], bytes] = {}
             for x in shingle_sets(b.column(0).to_pylist(), size):
                 d = _digest(x)
-                if flags[d[0] % _BITS]:
+                i = d[0] % _BITS
+                if flags[i >> 3] >> (i & 7) & 1:
                     out[d] = x.tobytes()
             for lo in range(0, len(out), 200):
                 part = list(out.items())[lo : lo + 200]
