@@ -9,9 +9,11 @@ import time
 from pyspark.sql import functions as F
 
 from ketflow import catalog
+from ketflow.operators import dense as D
 from ketflow.operators import measure as M
+from ketflow.plans import circuit as C
 from ketflow.plans import generators as gen
-from ketflow.session import Session, spark_session
+from ketflow.session import Session, cut_lineage, spark_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -24,6 +26,12 @@ def circuits() -> dict:
     return named | {f"hwall_{n}": gen.hadamard_wall(n) for n in (4, 8, 12, 16, 20)} | {"ghz_62": gen.ghz(62), "qft_16": gen.qft(16)}
 
 
+def layers(n: int) -> C.Circuit:
+    """The layers of the published dense runs: H on all qubits, T on all, a chain of CNOTs."""
+    every = [(g, (q,), {}) for g in "HT" for q in range(n)]
+    return C.of(n, every + [("CX", (q, q + 1), {}) for q in range(n - 1)])
+
+
 def main() -> None:
     spark = spark_session("bench", f"local[{CPUS}]", int(CPUS), **{"spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.sql.session.timeZone": "UTC", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
@@ -31,6 +39,7 @@ def main() -> None:
     tables = ("enc_lineitem", "enc_qft", "staged_qft", "fused_blocks", "marginal_prob", "overlap", "measure_cdf", "dag_edges", "wal_latest")
     work |= {k: lambda k=k: catalog.QUERIES[k](spark, SF_DIR).agg(F.count("*")).collect() for k in tables}
     work["enc_lineitem_hwall_16"] = lambda: M.norm(Session(spark).run(gen.hadamard_wall(16), catalog.encoded(spark, SF_DIR, "lineitem", 16)).state).collect()
+    work |= {f"dense_layers_{n}": lambda n=n: D.norm(D.run(D.zero(spark, n), layers(n), cut=cut_lineage)).collect() for n in (24, 26)}
     work["circ_ghz_3"]()  # starts the JVM's compilers, as the baseline's own runs did
     seconds = {}
     for name, run in work.items():

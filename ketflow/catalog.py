@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ketflow.functions import gates as G
 from ketflow.operators import apply as A
+from ketflow.operators import dense as D
 from ketflow.operators import encode as E
 from ketflow.operators import measure as M
 from ketflow.operators import relational as Q
@@ -398,6 +399,9 @@ add("durable_pending", lambda s, d: S.Log(s, _crashed(s, d, False)[0].base_path)
 add("durable_checkpoints", lambda s, d: S.Checkpoints(s, _crashed(s, d, True)[0].base_path).all().select("state_version", "last_step", F.col("checksum").isNotNull().alias("checked")), f"SELECT (i + 1)::INT AS state_version, i::INT AS last_step, true AS checked FROM range({_STEPS}) t(i)")
 add("durable_recovered", _recovered, "SELECT 1::INT AS version, 1::INT AS next_step, false AS complete")
 
+add("dense_kernels", lambda s, d: out(D.to_rows(D.run(D.from_rows(encoded(s, d), N, 3), _MIXED))), circuit_sql(_MIXED, encoded_sql()))
+add("dense_kernels_unfused", lambda s, d: out(D.to_rows(D.run(D.from_rows(encoded(s, d, "orders"), N, 4), gen.qft(N), 1))), circuit_sql(gen.qft(N), encoded_sql("orders")))
+
 _SQL_LONG = C.of(3, [g for k in range(5) for g in (("H", (k % 3,), {}), ("CX", (k % 3, (k + 1) % 3), {}), ("T", ((k + 2) % 3,), {}), ("RY", ((k + 1) % 3,), {"theta": 0.3 + k}))])
 add("sql_path_20", lambda s, d: out(run_sql(s, _SQL_LONG, "state_20").filter(f"version = {len(_SQL_LONG.gates)}").select("idx", "real", "imag")), circuit_sql(_SQL_LONG, ZERO_SQL))
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ketflow.operators import dense as D
 from ketflow.operators import measure as M
 from ketflow.operators.apply import checked, initial_state, run_stages
 from ketflow.plans import circuit as C
@@ -157,6 +158,14 @@ class Session:
                     store.delete(version - c.keep_versions - 1)
         return Result(df, circuit.n, len(plan.cuts), at.next_step, version, time.time() - began, plan.hash)
 
+    def run_dense(self, circuit: C.Circuit | dict, state: DataFrame | None = None) -> Result:
+        """Run a circuit on whole blocks of amplitudes, for states with most amplitudes present."""
+        circuit = C.parse(circuit) if isinstance(circuit, dict) else circuit
+        began, k = time.time(), self.config.local_qubits or D.LOCAL
+        first = D.zero(self.spark, circuit.n, k) if state is None else D.from_rows(state, circuit.n, k)
+        done = D.run(first, circuit, self.config.block_width, cut_lineage)
+        return Result(D.to_rows(done, self.config.epsilon), circuit.n, 1, seconds=time.time() - began)
+
     def run_named(self, generator: Callable[..., C.Circuit], *args, **kwargs) -> Result:
         """Run a generated circuit, e.g. ``run_named(generators.ghz, 5)``."""
         return self.run(generator(*args, **kwargs))
