@@ -254,6 +254,8 @@ add(
     lambda s, d: out(M.reset(encoded(s, d), 2)),
     f"WITH s0 AS {encoded_sql()}, z AS (SELECT idx, real / w AS real, imag / w AS imag FROM (SELECT *, sqrt(sum({_P}) OVER ()) AS w FROM s0 WHERE (idx >> 2) & 1 = 0)) {out_sql('z')}",
 )
+_TELEPORT = "qreg q[3]; creg a[1]; creg b[1]; ry(0.8) q[0]; h q[1]; cx q[1],q[2]; cx q[0],q[1]; h q[0]; measure q[0] -> a[0]; measure q[1] -> b[0]; if(b==1) x q[2]; if(a==1) z q[2]; reset q[0]; reset q[1];"
+add("measured_program", lambda s, d: out(Session(s).run_program(qasm.read(_TELEPORT, classical=True), 5)[0].state), "SELECT 0::BIGINT AS idx, round(cos(0.4), 9) + 0.0 AS real, 0.0::DOUBLE AS imag UNION ALL SELECT 4::BIGINT, round(sin(0.4), 9) + 0.0, 0.0::DOUBLE")
 add("sparsity", lambda s, d: M.sparsity(rotated(s, d), N).select("nonzero", r9("density").alias("density"), "bytes_saved"), rotated_sql(f"SELECT count(*)::BIGINT AS nonzero, round(count(*) / {2.0**N}, 9) + 0.0 AS density, {16.0 * 2**N} - 24.0 * count(*)::DOUBLE AS bytes_saved FROM STATE WHERE sqrt({_P}) > 1e-10"))
 add("topk_amplitudes", lambda s, d: M.top_amplitudes(encoded(s, d), 5).select("idx", r9("probability").alias("probability")), f"WITH s0 AS {encoded_sql()} SELECT idx, round({_P}, 9) + 0.0 AS probability FROM s0 ORDER BY {_P} DESC, idx LIMIT 5")
 add("overlap", lambda s, d: M.overlap(encoded(s, d), encoded(s, d, "orders")).select(*[r9(c).alias(c) for c in ("real", "imag", "magnitude")]), f"WITH a AS {encoded_sql()}, b AS {encoded_sql('orders')} SELECT round(sum(a.real * b.real), 9) + 0.0 AS real, 0.0::DOUBLE AS imag, round(abs(sum(a.real * b.real)), 9) + 0.0 AS magnitude FROM a JOIN b USING (idx)")

@@ -54,16 +54,30 @@ def project(state: DataFrame, qubits, values=None, n: int | None = None, renorma
     return out
 
 
-def reset(state: DataFrame, qubit: int) -> DataFrame:
-    """Measure-and-flip reset of one qubit of a product state: outcome 0 if possible, its bit cleared."""
+def reset(state: DataFrame, qubit: int, u: float = 0.0) -> DataFrame:
+    """Measure-and-flip reset of one qubit: outcome 0 if ``u`` is below its probability, its bit cleared, the norm kept.
+
+    On an entangled qubit the result depends on the outcome: draw ``u`` from [0, 1) for one
+    run of the program.  With ``u`` = 0 the outcome is 0 wherever that is possible.
+    """
     zero = B.bit(F.col("idx"), qubit) == 0
     weight = state.agg(F.sum(F.when(zero, probability()).otherwise(0.0)).alias("w0"), F.sum(probability()).alias("w"))
-    use_zero = F.col("w0") > 1e-12
+    use_zero = F.col("w0") > F.greatest(F.lit(float(u)), F.lit(1e-12)) * F.col("w")
     kept = state.join(F.broadcast(weight)).filter(F.when(use_zero, zero).otherwise(~zero))
-    scale = F.sqrt(F.when(use_zero, F.col("w0")).otherwise(F.col("w")) / F.col("w"))
+    scale = F.sqrt(F.when(use_zero, F.col("w0")).otherwise(F.col("w") - F.col("w0")) / F.col("w"))
     return kept.select(B.clear(F.col("idx"), [qubit]).alias("idx"), (F.col("real") / scale).alias("real"), (F.col("imag") / scale).alias("imag"))
 
 
+def collapse(state: DataFrame, qubit: int, u: float) -> tuple[DataFrame, int]:
+    """(state after measuring one qubit, its outcome): 0 if ``u`` is below its probability.  One row comes to the driver."""
+    zero = B.bit(F.col("idx"), qubit) == 0
+    w0, w = state.agg(F.coalesce(F.sum(F.when(zero, probability())), F.lit(0.0)), F.coalesce(F.sum(probability()), F.lit(0.0))).first()
+    if not w:
+        raise ValueError("a state without weight cannot be measured")
+    outcome = 0 if w0 > max(u, 1e-12) * w else 1
+    return project(state, [qubit], [outcome], drop=False), outcome
+
+
 def allocate(state: DataFrame, n: int, count: int = 1) -> tuple[DataFrame, int]:
     """``count`` new qubits in |0> above the others: the index stays, the width grows."""
     return state, n + count

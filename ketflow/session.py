@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import re
 import time
 from collections.abc import Callable
@@ -18,6 +19,7 @@ from ketflow.operators.apply import checked, initial_state, run_stages
 from ketflow.plans import circuit as C
 from ketflow.plans import rewrite as R
 from ketflow.sources import store as S
+from ketflow.sources.qasm import Program
 
 #: Session settings that the engine relies on; nothing else is set.
 SETTINGS = {
@@ -166,6 +168,43 @@ class Session:
         done = D.run(first, circuit, self.config.block_width, cut_lineage)
         return Result(D.to_rows(done, self.config.epsilon), circuit.n, 1, seconds=time.time() - began)
 
+    def run_program(self, program: Program, seed: int = 0, state: DataFrame | None = None) -> tuple[Result, dict[str, int]]:
+        """One run of a program with measurements, resets and classically controlled gates: its state and its registers.
+
+        Outcomes come from a generator with ``seed``, in program order.  Gates between two
+        measurements are planned together; the state is written before each outcome is read,
+        so that a recomputed task cannot see another one.
+        """
+        began, draw, n = time.time(), random.Random(seed), program.circuit.n
+        bits = {name: [0] * size for name, size in program.registers.items()}
+        value = lambda name: sum(b << i for i, b in enumerate(bits[name]))
+        df = initial_state(self.spark) if state is None else state
+        pending: list[dict] = []
+        steps = 0
+
+        def settle() -> DataFrame:
+            nonlocal steps
+            if not pending:
+                return df
+            done = self._plain(C.parse({"number_of_qubits": n, "gates": list(pending)}), df)
+            steps += done.steps
+            pending.clear()
+            return done.state
+
+        for e in program.events:
+            if e.condition and value(e.condition[0]) != e.condition[1]:
+                continue
+            if e.kind == "gates":
+                pending += e.gates
+                continue
+            df = cut_lineage(settle())
+            if e.kind == "measure":
+                df, bits[e.bit[0]][e.bit[1]] = M.collapse(df, e.qubit, draw.random())
+            else:
+                df = M.reset(df, e.qubit, draw.random())
+        df = settle()
+        return Result(df, n, steps, seconds=time.time() - began), {name: value(name) for name in bits}
+
     def run_named(self, generator: Callable[..., C.Circuit], *args, **kwargs) -> Result:
         """Run a generated circuit, e.g. ``run_named(generators.ghz, 5)``."""
         return self.run(generator(*args, **kwargs))

@@ -53,13 +53,29 @@ class Macro:
     body: list[tuple[str, list[str], list[str]]]
 
 
+@dataclass(frozen=True)
+class Event:
+    """A step of a program, in order: a run of gates, a measurement or a reset, perhaps only if a register has a value."""
+
+    kind: str
+    gates: tuple[dict, ...] = ()
+    qubit: int = -1
+    bit: tuple[str, int] | None = None
+    condition: tuple[str, int] | None = None
+
+
 @dataclass
 class Program:
-    """A parsed file: the circuit, the measured bits (qubit, classical register, place) and dropped statements."""
+    """A parsed file: the circuit, the measured bits (qubit, classical register, place), reset qubits, and all of it in order.
+
+    ``circuit`` holds the unconditional gates; ``session.Session.run_program`` runs ``events``.
+    """
 
     circuit: Circuit
     measures: list[tuple[int, str, int]] = field(default_factory=list)
     resets: list[int] = field(default_factory=list)
+    events: list[Event] = field(default_factory=list)
+    registers: dict[str, int] = field(default_factory=dict)
 
 
 _CALL = re.compile(r"([A-Za-z_]\w*)\s*(?:\((.*)\))?\s+(.+)", re.S)
@@ -93,8 +109,11 @@ def _call(text: str) -> tuple[str, list[str], list[str]]:
     return name, params, _split(rest)
 
 
-def read(text: str) -> Program:
-    """Parse a program.  Barriers are dropped, measures listed, ``if`` refused, unknown gates refused."""
+def read(text: str, classical: bool = False) -> Program:
+    """Parse a program.  Barriers are dropped, measures and resets listed, unknown gates refused.
+
+    ``if`` is refused unless ``classical``: a program with it is more than its circuit.
+    """
     text = re.sub(r"//[^\n]*", "", text)
     macros: dict[str, Macro] = {}
 
@@ -149,23 +168,40 @@ def read(text: str) -> Program:
             if m[1] == "q":
                 start[m[2]] = (total, int(m[3]))
                 total += int(m[3])
+            else:
+                program.registers[m[2]] = int(m[3])
             continue
-        if st.startswith("if"):
-            raise CircuitError("classically controlled gates are not supported")
+        condition = None
+        if re.match(r"if\b", st):
+            m = re.fullmatch(r"if\s*\(\s*(\w+)\s*==\s*(\d+)\s*\)\s*(.+)", st, re.S)
+            if not classical or m is None:
+                raise CircuitError(f"{st!r}: classically controlled statements need classical=True")
+            if m[1] not in program.registers:
+                raise CircuitError(f"unknown register in {st!r}")
+            condition, st = (m[1], int(m[2])), m[3]
         if m := re.fullmatch(r"measure\s+(.+?)\s*->\s*(\w+)(?:\s*\[\s*(\d+)\s*\])?", st):
             for i, q in enumerate(bits(m[1])):
-                program.measures.append((q, m[2], int(m[3]) if m[3] else i))
+                place = int(m[3]) if m[3] else i
+                if place >= program.registers.get(m[2], 0):
+                    raise CircuitError(f"{st!r}: no such classical bit")
+                program.measures.append((q, m[2], place))
+                program.events.append(Event("measure", (), q, (m[2], place), condition))
             continue
-        if st.startswith("reset"):
+        if re.match(r"reset\b", st):
             program.resets += bits(st[5:])
+            program.events += [Event("reset", (), q, None, condition) for q in bits(st[5:])]
             continue
         name, params, operands = _call(st)
         refs = [bits(x) for x in operands]
         size = max(map(len, refs))
         if any(len(r) not in (1, size) for r in refs):
             raise CircuitError(f"registers of different sizes in {st!r}")
+        before = len(gates)
         for i in range(size):
             emit(name, [evaluate(p) for p in params], [r[i] if len(r) > 1 else r[0] for r in refs])
+        program.events.append(Event("gates", tuple(gates[before:]), condition=condition))
+        if condition:
+            del gates[before:]
     if not total:
         raise CircuitError("no qreg")
     program.circuit = parse({"number_of_qubits": total, "gates": gates})

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from ketflow.operators import encode as E
 from ketflow.operators import measure as M
@@ -61,3 +62,15 @@ def test_encodings_skip_nulls(spark):
     assert np.allclose(v, [0, 1, 0, 0])
     assert np.allclose(dense(E.basis_encode(df, F.col("k"), 3), 3)[[1, 2, 3, 5]], 0.5)
     assert E.amplitude_encode(df.limit(0), F.col("k"), 2, F.col("w")).count() == 0
+
+
+def test_reset_of_an_entangled_qubit_follows_the_draw(spark):
+    bell = Session(spark).run(gen.ghz(2)).state
+    assert np.allclose(dense(M.reset(bell, 0, 0.3), 2), [1, 0, 0, 0])
+    assert np.allclose(dense(M.reset(bell, 0, 0.7), 2), [0, 0, 1, 0])
+    assert [M.collapse(bell, 1, u)[1] for u in (0.0, 0.49, 0.51, 0.99)] == [0, 0, 1, 1]
+
+
+def test_collapse_without_weight(spark):
+    with pytest.raises(ValueError, match="weight"):
+        M.collapse(Session(spark).run(gen.ghz(2)).state.limit(0), 0, 0.5)

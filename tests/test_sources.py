@@ -1,8 +1,11 @@
+import math
+
 import numpy as np
 import pytest
 
 from ketflow.operators import measure as M
 from ketflow.plans import circuit as C
+from ketflow.plans.circuit import CircuitError
 from ketflow.plans import generators as gen
 from ketflow.session import Config, InjectedCrash, Session
 from ketflow.sources import chunks, qasm
@@ -121,3 +124,26 @@ def test_parts_and_dot(spark, tmp_path):
     assert qasm.write_parts(c, part).count("// part") >= 2
     assert qasm.dot(c).count("->") == sum(len(g.qubits) for g in c.gates) + 3
     assert len(qasm.from_calls(2, [("h", [], [0]), ("barrier", [], [0, 1]), ("cx", [], [0, 1]), ("cp", [0.3], [0, 1])]).gates) == 3
+
+
+def test_measured_programs_follow_their_registers(spark):
+    text = "qreg q[3]; creg a[1]; creg b[1]; ry(0.8) q[0]; h q[1]; cx q[1],q[2]; cx q[0],q[1]; h q[0]; measure q[0] -> a[0]; measure q[1] -> b[0]; if(b==1) x q[2]; if(a==1) z q[2];"
+    program = qasm.read(text, classical=True)
+    seen = set()
+    for seed in range(4):
+        done, bits = Session(spark).run_program(program, seed)
+        at = bits["a"] | bits["b"] << 1
+        got = {r.idx: complex(r.real, r.imag) for r in done.state.collect() if abs(r.real) > 1e-12}
+        assert set(got) == {at, at | 4}
+        assert abs(got[at] - math.cos(0.4)) < 1e-12 and abs(got[at | 4] - math.sin(0.4)) < 1e-12
+        seen.add(at)
+    assert len(seen) > 1
+    again = qasm.read("qreg q[1]; creg c[2]; x q[0]; measure q[0] -> c[1]; if(c==2) reset q[0]; if(c==1) x q[0];", classical=True)
+    done, bits = Session(spark).run_program(again)
+    assert bits == {"c": 2} and done.to_dict() == {0: 1}
+    assert again.circuit.gates[0].name == "X" and len(again.circuit.gates) == 1
+    for bad in ("qreg q[1]; creg c[1]; if(c==1) x q[0];", "qreg q[1]; measure q[0] -> c[0];"):
+        with pytest.raises(CircuitError):
+            qasm.read(bad)
+    with pytest.raises(CircuitError):
+        qasm.read("qreg q[1]; if(d==1) x q[0];", classical=True)
