@@ -181,6 +181,7 @@ _LAYER = C.of(N, [("H", (0,), {}), ("T", (2,), {}), ("RY", (3,), {"theta": 0.9})
 add("tensor_layer", lambda s, d: out(A.apply_parallel(encoded(s, d), list(_LAYER.gates))), circuit_sql(_LAYER, encoded_sql()))
 add("level_layer", lambda s, d: out(A.apply_level(encoded(s, d), C.levelize(_LAYER)[0])), circuit_sql(_LAYER, encoded_sql()))
 add("staged_qft", lambda s, d: out(_session(local_qubits=3)(s, encoded(s, d), gen.qft(N))), circuit_sql(gen.qft(N), encoded_sql()))
+add("staged_exact", lambda s, d: out(_session(local_qubits=3, staging="exact")(s, encoded(s, d), _MIXED)), circuit_sql(_MIXED, encoded_sql()))
 add("staged_mixed", lambda s, d: out(_session(local_qubits=3, cut_every=3)(s, encoded(s, d), _MIXED)), circuit_sql(_MIXED, encoded_sql()))
 
 
@@ -256,6 +257,7 @@ add(
 )
 _TELEPORT = "qreg q[3]; creg a[1]; creg b[1]; ry(0.8) q[0]; h q[1]; cx q[1],q[2]; cx q[0],q[1]; h q[0]; measure q[0] -> a[0]; measure q[1] -> b[0]; if(b==1) x q[2]; if(a==1) z q[2]; reset q[0]; reset q[1];"
 add("measured_program", lambda s, d: out(Session(s).run_program(qasm.read(_TELEPORT, classical=True), 5)[0].state), "SELECT 0::BIGINT AS idx, round(cos(0.4), 9) + 0.0 AS real, 0.0::DOUBLE AS imag UNION ALL SELECT 4::BIGINT, round(sin(0.4), 9) + 0.0, 0.0::DOUBLE")
+add("merged_parts", lambda s, d: out(M.merge([encoded(s, d), rotated(s, d), encoded(s, d, "orders")])), circuit_sql(_ROT, encoded_sql(), lambda last: f", o AS {encoded_sql('orders')}, m AS (SELECT idx, sum(real) AS real, sum(imag) AS imag FROM (SELECT idx, real, imag FROM s0 UNION ALL SELECT idx, real, imag FROM {last} UNION ALL SELECT idx, real, imag FROM o) GROUP BY idx) {out_sql('m')}"))
 add("sparsity", lambda s, d: M.sparsity(rotated(s, d), N).select("nonzero", r9("density").alias("density"), "bytes_saved"), rotated_sql(f"SELECT count(*)::BIGINT AS nonzero, round(count(*) / {2.0**N}, 9) + 0.0 AS density, {16.0 * 2**N} - 24.0 * count(*)::DOUBLE AS bytes_saved FROM STATE WHERE sqrt({_P}) > 1e-10"))
 add("topk_amplitudes", lambda s, d: M.top_amplitudes(encoded(s, d), 5).select("idx", r9("probability").alias("probability")), f"WITH s0 AS {encoded_sql()} SELECT idx, round({_P}, 9) + 0.0 AS probability FROM s0 ORDER BY {_P} DESC, idx LIMIT 5")
 add("overlap", lambda s, d: M.overlap(encoded(s, d), encoded(s, d, "orders")).select(*[r9(c).alias(c) for c in ("real", "imag", "magnitude")]), f"WITH a AS {encoded_sql()}, b AS {encoded_sql('orders')} SELECT round(sum(a.real * b.real), 9) + 0.0 AS real, 0.0::DOUBLE AS imag, round(abs(sum(a.real * b.real)), 9) + 0.0 AS magnitude FROM a JOIN b USING (idx)")
@@ -294,6 +296,18 @@ def gate_rows_sql(name: str = "orders", key: str = "o_orderkey", other: str = "o
 
 add("dag_edges", lambda s, d: Q.direct_edges(gate_rows(s, d)), f"SELECT * FROM (SELECT lag(seq) OVER (PARTITION BY qubit ORDER BY seq) AS src, seq AS dst, qubit FROM {gate_rows_sql()}) WHERE src IS NOT NULL")
 _SUPP = ("supplier", "s_suppkey", "s_nationkey")
+add("partition_spread", lambda s, d: M.spread(gate_rows(s, d).withColumn("qubit", F.col("qubits")[0]).groupBy("qubit").agg(F.count("*").alias("rows"))).select("least", "greatest", r9("mean").alias("mean")), "SELECT min(n)::BIGINT AS least, max(n)::BIGINT AS greatest, round(avg(n), 9) + 0.0 AS mean FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey % 8)")
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates of a table matched to a listing of them in falling order of customers."""
+    gates = gate_rows(spark, sf_dir).withColumn("gate", F.lit("CX"))
+    listing = table(spark, sf_dir, "orders").select((-F.col("o_orderkey")).alias("order_id"), F.col("o_orderkey").cast("long").alias("seq"), F.pmod("o_custkey", F.lit(9)).alias("part")).join(gates, "seq")
+    return Q.match_gates(gates, listing.select("order_id", "gate", "qubits", "part")).groupBy("part").agg(F.count("*").alias("gates"), F.sum("seq").alias("seqs"))
+
+
+_GATE_LIST = "(SELECT o_orderkey::BIGINT AS seq, [(o_custkey % 8)::INT, ((o_custkey % 8 + 1 + o_orderkey % 7) % 8)::INT] AS q, (o_custkey % 9)::BIGINT AS part FROM orders)"
+add("matched_gates", _matched, f"WITH g AS {_GATE_LIST}, a AS (SELECT seq, q, row_number() OVER (PARTITION BY q ORDER BY seq) AS k FROM g), b AS (SELECT part, q, row_number() OVER (PARTITION BY q ORDER BY seq DESC) AS k FROM g) SELECT b.part, count(*)::BIGINT AS gates, sum(a.seq)::BIGINT AS seqs FROM a JOIN b ON a.q = b.q AND a.k = b.k GROUP BY 1")
 add("dag_all_edges", lambda s, d: Q.all_edges(gate_rows(s, d, *_SUPP)), f"WITH u AS {gate_rows_sql(*_SUPP)} SELECT DISTINCT a.seq AS src, b.seq AS dst FROM u a JOIN u b ON a.qubit = b.qubit AND a.seq < b.seq")
 add("gate_batches", lambda s, d: Q.batch_ids(gate_rows(s, d), 10).groupBy("batch").agg(F.count("*").alias("gates"), F.min("seq").alias("gate_start"), F.max("seq").alias("gate_end")), "SELECT (o_orderkey // 10)::BIGINT AS batch, count(*)::BIGINT AS gates, min(o_orderkey)::BIGINT AS gate_start, max(o_orderkey)::BIGINT AS gate_end FROM orders GROUP BY 1")
 add("qubit_frequency", lambda s, d: Q.qubit_frequency(gate_rows(s, d)), f"SELECT qubit, count(*)::BIGINT AS uses FROM {gate_rows_sql()} GROUP BY 1")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import socket
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,5 +189,31 @@ def to_dict(state: DataFrame) -> dict[int, complex]:
     return {r.idx: complex(r.real, r.imag) for r in state.collect()}
 
 
+def merge(states: Iterable[DataFrame]) -> DataFrame:
+    """The sum of partial states: their rows together, amplitudes of an index added.
+
+    Right for terms of one linear sum (as the branches of an operator); states of separate
+    circuits are not such terms and need a tensor product.
+    """
+    together = reduce(DataFrame.unionByName, states)
+    return together.groupBy("idx").agg(F.sum("real").alias("real"), F.sum("imag").alias("imag"))
+
+
+def spread(metrics: DataFrame, value: str = "rows") -> DataFrame:
+    """One row: least, greatest and mean of a metric over partitions, ranks or tasks."""
+    return metrics.agg(F.min(value).alias("least"), F.max(value).alias("greatest"), F.avg(value).alias("mean"))
+
+
+def rows_per_worker(df: DataFrame) -> DataFrame:
+    """(worker, rows): the hosts and executors that hold a DataFrame's partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sum(b.num_rows for b in batches)
+        worker = f"{socket.gethostname()}/{os.getppid()}"  # workers of an executor are forks of one daemon
+        yield pa.RecordBatch.from_arrays([pa.array([worker]), pa.array([rows], pa.int64())], names=["worker", "rows"])
+
+    return df.select(df.columns[0]).mapInArrow(run, "worker string, rows bigint").groupBy("worker").agg(F.sum("rows").alias("rows"))
+
+
 def rows_per_partition(df: DataFrame) -> DataFrame:
     return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("rows"))

@@ -14,10 +14,21 @@ def uses(gates: DataFrame) -> DataFrame:
     return gates.select("seq", F.explode("qubits").alias("qubit"))
 
 
-def direct_edges(gates: DataFrame) -> DataFrame:
-    """(src, dst, qubit): each gate after the last earlier one on the same qubit; a window, no self join."""
-    w = Window.partitionBy("qubit").orderBy("seq")
-    return uses(gates).select(F.lag("seq").over(w).alias("src"), F.col("seq").alias("dst"), "qubit").filter("src IS NOT NULL")
+def direct_edges(gates: DataFrame, ranges: int = 256) -> DataFrame:
+    """(src, dst, qubit): each gate after the last earlier one on the same qubit; windows, no self join.
+
+    A circuit has few qubits, so a qubit's gates are looked at in ``ranges`` spans of seq; the
+    first gate of a span follows the last one of the spans before (one row a qubit and span
+    is gathered for that).
+    """
+    span = gates.agg(F.min("seq").alias("low"), F.max("seq").alias("high"))
+    at = F.floor((F.col("seq") - F.col("low")) / (F.col("high") - F.col("low") + 1.0) * ranges).cast("int").alias("span")
+    placed = uses(gates).join(F.broadcast(span)).select("seq", "qubit", at)
+    ends = placed.groupBy("qubit", "span").agg(F.max("seq").alias("end"))
+    before = ends.select("qubit", "span", F.lag("end").over(Window.partitionBy("qubit").orderBy("span")).alias("before"))
+    inside = F.lag("seq").over(Window.partitionBy("qubit", "span").orderBy("seq")).alias("inside")
+    found = placed.select("seq", "qubit", "span", inside).join(before, ["qubit", "span"])
+    return found.select(F.coalesce("inside", "before").alias("src"), F.col("seq").alias("dst"), "qubit").filter("src IS NOT NULL")
 
 
 def all_edges(gates: DataFrame) -> DataFrame:
@@ -59,3 +70,15 @@ def pending_after(log: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Pending steps that start after their run's last checkpointed step."""
     last = checkpoints.groupBy("run_id").agg(F.max("last_step").alias("last_step"))
     return log.filter("status = 'PENDING'").join(last, "run_id", "left").filter(F.col("step_start") > F.coalesce("last_step", F.lit(-1)))
+
+
+def match_gates(original: DataFrame, parted: DataFrame) -> DataFrame:
+    """(seq, part): the part of each gate of a circuit, from a listing (order_id, gate, qubits, part) in another order.
+
+    Equal gates (same name, same qubits) are matched first to first, so none is used twice;
+    a gate that the listing lacks has a null part.
+    """
+    rank = lambda order: F.row_number().over(Window.partitionBy("gate", "qubits").orderBy(order)).alias("nth")
+    a = original.select("seq", "gate", "qubits", rank("seq"))
+    b = parted.select("gate", "qubits", "part", rank("order_id"))
+    return a.join(b, ["gate", "qubits", "nth"], "left").select("seq", "part")

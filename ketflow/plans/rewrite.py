@@ -8,6 +8,7 @@ kept on every qubit.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import math
 from dataclasses import dataclass, field
@@ -228,8 +229,55 @@ def stages(ops: list[Op], n: int, k: int | None = None) -> list[Stage]:
     return out
 
 
-def staging_stats(circuit: Circuit, k: int | None = None) -> dict:
-    plan = stages([lower(g) for g in circuit.gates], circuit.n, k)
+def fewest_stages(ops: list[Op], n: int, k: int, most: int = 200_000) -> list[Stage]:
+    """As few stages as can be, by breadth-first search over what has run; program order holds but for commuting operators.
+
+    For a set of local qubits it is never worse to run all that can run, so a step of the
+    search is a set of ``k`` qubits out of those that operators still move.  Sets of run
+    operators that another contains are dropped.  ``CircuitError`` after ``most`` steps: the
+    search grows with the number of such sets; ``stages`` does not.
+    """
+    k = min(k, n)
+    if any(len(op.moving) > k for op in ops):
+        raise CircuitError(f"{k} local qubits are too few for an operator")
+    needs = [sum(1 << i for i in range(j) if not _commutes(ops[i], op)) for j, op in enumerate(ops)]
+
+    def closure(done: int, local: frozenset[int]) -> tuple[int, list[int]]:
+        new = []
+        for j, op in enumerate(ops):
+            if not done >> j & 1 and needs[j] & ~done == 0 and op.moving <= local:
+                done |= 1 << j
+                new.append(j)
+        return done, new
+
+    everything, steps = (1 << len(ops)) - 1, 0
+    level: dict[int, tuple[tuple[frozenset[int], list[int]], ...]] = {0: ()}
+    while everything not in level:
+        reached: dict[int, tuple] = {}
+        for done, path in level.items():
+            moved = sorted(frozenset().union(*(op.moving for j, op in enumerate(ops) if not done >> j & 1)))
+            for chosen in itertools.combinations(moved, min(k, len(moved))):
+                steps += 1
+                if steps > most:
+                    raise CircuitError(f"no plan of fewest stages within {most} steps")
+                local = frozenset(chosen)
+                after, new = closure(done, local)
+                if new and after not in reached:
+                    reached[after] = (*path, (local, new))
+        level = {}
+        for done in sorted(reached, key=int.bit_count, reverse=True):
+            if not any(done & ~kept == 0 for kept in level):
+                level[done] = reached[done]
+    out = []
+    for local, new in level[everything]:
+        rest = [q for q in range(n) if q not in local][: k - len(local)]
+        out.append(Stage(local | frozenset(rest), tuple(ops[j] for j in new)))
+    return out
+
+
+def staging_stats(circuit: Circuit, k: int | None = None, exact: bool = False) -> dict:
+    ops = [lower(g) for g in circuit.gates]
+    plan = fewest_stages(ops, circuit.n, local_width(circuit.n) if k is None else k) if exact else stages(ops, circuit.n, k)
     return {"stages": len(plan), "exchanges": max(0, len(plan) - 1), "local": [sorted(s.local) for s in plan], "general": [s.general for s in plan]}
 
 
@@ -268,14 +316,20 @@ class Plan:
         return sum(st.general for c in self.cuts for st in c.stages)
 
 
-def plan(circuit: Circuit, fusion: bool = True, staging: bool = True, k: int | None = None, width: int = MAX_BLOCK, cut_every: int = CUT_EVERY) -> Plan:
-    """Physical plan of a circuit; its hash covers the circuit and every option that shapes it."""
+def plan(circuit: Circuit, fusion: bool = True, staging: bool | str = True, k: int | None = None, width: int = MAX_BLOCK, cut_every: int = CUT_EVERY) -> Plan:
+    """Physical plan of a circuit; its hash covers the circuit and every option that shapes it.
+
+    ``staging`` is "exact" for as few stages as can be, which small circuits can afford.
+    """
     if circuit.n > MAX_QUBITS:
         raise CircuitError(f"at most {MAX_QUBITS} qubits fit the index")
     ops = [lower(g) for g in circuit.gates]
     if fusion:
         ops = fuse(ops, width)
-    todo = stages(ops, circuit.n, k) if staging else [Stage(frozenset(), (op,)) for op in ops]
+    if staging == "exact":
+        todo = fewest_stages(ops, circuit.n, local_width(circuit.n) if k is None else k)
+    else:
+        todo = stages(ops, circuit.n, k) if staging else [Stage(frozenset(), (op,)) for op in ops]
     cuts: list[Cut] = []
     held: list[Stage] = []
     used = 0

@@ -41,7 +41,7 @@ class Config:
     base_path: str = ""
     run_id: str = "default"
     fusion: bool = True
-    staging: bool = True
+    staging: bool | str = True
     local_qubits: int | None = None
     block_width: int = R.MAX_BLOCK
     cut_every: int = R.CUT_EVERY

@@ -155,3 +155,22 @@ def test_partitions_follow_the_rows_moved():
     two = C.of(4, [("H", (0,), {}), ("H", (2,), {}), ("CX", (0, 1), {}), ("CX", (2, 3), {})])
     part = C.partition(two, 2, "qubits")
     assert part[0] == part[2] and part[1] == part[3] and part[0] != part[1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fewest_stages(seed):
+    c = gen.random_circuit(5, 16, seed)
+    ops = [R.lower(g) for g in c.gates]
+    k = max(2, max(len(op.moving) for op in ops))
+    plan = R.fewest_stages(ops, 5, k)
+    assert len(plan) <= len(R.stages(ops, 5, k))
+    assert sorted(s for st in plan for op in st.ops for s in op.seqs) == list(range(len(ops)))
+    assert all(op.moving <= st.local and len(st.local) <= k for st in plan for op in st.ops)
+    ran = C.Circuit(5, tuple(c.gates[s] for st in plan for op in st.ops for s in op.seqs))
+    assert np.allclose(simulate(ran), simulate(c))
+
+
+def test_fewest_stages_has_an_end():
+    ops = [R.lower(g) for g in gen.random_circuit(10, 200, 1).gates]
+    with pytest.raises(C.CircuitError, match="fewest"):
+        R.fewest_stages(ops, 10, 4, most=50)

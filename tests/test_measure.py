@@ -74,3 +74,10 @@ def test_reset_of_an_entangled_qubit_follows_the_draw(spark):
 def test_collapse_without_weight(spark):
     with pytest.raises(ValueError, match="weight"):
         M.collapse(Session(spark).run(gen.ghz(2)).state.limit(0), 0, 0.5)
+
+
+def test_merge_and_workers(spark):
+    a, b = Session(spark).run(gen.ghz(3)).state, Session(spark).run(gen.hadamard_wall(3)).state
+    assert np.allclose(dense(M.merge([a, b, b]), 3), simulate(gen.ghz(3)) + 2 * simulate(gen.hadamard_wall(3)))
+    assert sum(r.rows for r in M.rows_per_worker(b).collect()) == 8
+    assert M.spread(spark.createDataFrame([(1,), (5,)], "rows long")).first() == (1, 5, 3.0)
