@@ -55,6 +55,9 @@ ALPHA = 0.4
 BLOCK_TOKENS = 1 << 19
 #: Distinct n-grams that a hash range gathers from all blocks, about.
 RANGE_NGRAMS = 1 << 21
+#: Ranges, or blocks, that a task takes one after the other, about.  Tasks of a single one are a
+#: second's work, and every file written costs a process of its own on a local file system.
+PER_TASK = 4
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _M1, _M2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -189,7 +192,7 @@ def _by_block(table: DataFrame, answers: list[DataFrame], n_blocks: int) -> Data
     all_of = answers[0]
     for more in answers[1:]:
         all_of = all_of.union(more)
-    tasks = max(1, n_blocks)
+    tasks = -(-n_blocks // PER_TASK) or 1
     got = all_of.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("k", "lo", "n")).alias("answers"))
     return table.repartition(tasks, "block").join(got, "block", "left").select("ids", *columns, "answers")
 
@@ -242,7 +245,7 @@ def counts(table: DataFrame, orders: list[int], ranges: int, min_count: int = MI
             yield answer()
 
     slices = map_arrow(table.select("block", "lengths", "vocabulary", "tokens", "answers"), cut, "key bigint, block bigint, k int, lo bigint, h binary, n binary")
-    tasks = 2 * len(orders) << bits
+    tasks = -(-(len(orders) << bits) // PER_TASK)
     return map_arrow(slices.repartition(tasks, "key").sortWithinPartitions("key"), add, "block bigint, k int, lo bigint, n binary")
 
 
