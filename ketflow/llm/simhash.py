@@ -14,14 +14,19 @@ parts of about that many, and each two parts meet in a task.
 ``classes`` links at ``radius`` or fewer of 64 bits.  With ``radius + 1`` blocks two
 such fingerprints agree on a block, so no link is lost.
 
-``keep_one`` is the filter for corpora: near-duplicates by the exact Jaccard similarity
-of their sets of distinct shingles, without fingerprints, as these lose links near the
-limit (README has figures).  Candidates come from an exact prefix filter: of a set's
-shingles, rarest first, only so many are looked up that two sets similar enough must meet
-in one.  The order is by hashed counters of frequency, so that common lines come last; any
-order finds all pairs.  Candidates' components are then tested, and only pairs that are
-similar enough are linked.  In large components a few leaders come first: members similar
-to one of them are linked to it, and only the rest has to meet all others.
+``keep_one`` is the filter for corpora: near-duplicates by fingerprints of ``WORDS`` x 64
+bits of their sets of distinct shingles, followed by an exact test of the Jaccard
+similarity.  Its bucket shards are not blocks of bits, in which sets near the limit seldom
+agree, but rare shingles: of a set's shingles, rarest first, only so many name a shard
+that two sets similar enough must meet in one.  The order is by hashed counters of
+frequency, so that common lines come last; any order finds all pairs.  A shard's BK-tree
+links fingerprints within ``RADIUS`` bits (README has the odds that a pair at the limit
+differs in more), so texts that share a few shingles by chance, of which a larger corpus
+has ever more, are not linked.  The components of these links are then tested, and only
+pairs that are similar enough stay linked.  In large components a few leaders come first:
+members similar to one of them are linked to it, and only the rest has to meet all others.
+``by="prefix"`` proposes all pairs that share such a shingle instead, without
+fingerprints: no link is left to odds, but disk grows with the square of the corpus.
 
 A shard returns the spanning stars of its local components, never all pairs: a few
 leaders first gather the members near to them, and only members outside the largest
@@ -57,6 +62,8 @@ _VOTE_ROWS = 255 * 64
 _LEADERS = 16
 #: Fingerprints of a bucket in one task, or in each half of one.
 BUCKET = 1 << 14
+#: 64-bit words of the fingerprints of shingle sets, and the bits in which linked ones may differ.
+WORDS, RADIUS = 3, 64
 #: Counters of shingle frequencies, and the rows they are summed in.
 _COUNTERS, _SLICES = 1 << 20, 64
 #: Most rows of a prefix shingle that are compared in pairs before the exact test.
@@ -118,6 +125,11 @@ def fingerprint(text: bytes | None, size: int = 3, words: int = 1) -> tuple[int,
     return tuple(int.from_bytes(np.packbits(2 * _votes(_mixed(h, k)) > len(h)).tobytes(), "big") for k in range(words))
 
 
+def set_fingerprint(shingles: np.ndarray) -> bytes:
+    """Fingerprint of a set of shingle hashes, ``WORDS`` words; every shingle has one vote."""
+    return b"".join(np.packbits(2 * _votes(_mixed(shingles, k + 1)) > len(shingles)).tobytes() for k in range(WORDS))
+
+
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long."""
 
@@ -252,13 +264,18 @@ def links(fps: DataFrame, radius: int = 3, words: int = 1, blocks: int | None =
     rows = fps.select(F.explode(F.array(*keys)).alias("key"), "node", *names)
     large = rows.groupBy("key").count().filter(F.col("count") > BUCKET)
     if not large.isEmpty():
-        parts = large.select("key", F.ceil(F.col("count") / BUCKET).cast("int").alias("k"))
-        cut = salted_join(rows, parts, "key", "node", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-        cut = cut.withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        rows = cut.select(F.xxhash64("key", F.least("c", "d"), F.greatest("c", "d")).alias("key"), "node", *names)
+        rows = _in_parts(rows, large, names)
     return map_arrow(rows.repartition("key").sortWithinPartitions("key"), run, "a bigint, b bigint").distinct()
 
 
+def _in_parts(rows: DataFrame, large: DataFrame, names: list[str]) -> DataFrame:
+    """Rows (key, node, names...) with the buckets of ``large`` (key, count) cut into parts of about ``BUCKET``, a new key for each two parts."""
+    parts = large.select("key", F.ceil(F.col("count") / BUCKET).cast("int").alias("k"))
+    cut = salted_join(rows, parts, "key", "node", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    cut = cut.withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return cut.select(F.xxhash64("key", F.least("c", "d"), F.greatest("c", "d")).alias("key"), "node", *names)
+
+
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     x = np.array(rows, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(x[:, 0], pa.int64()), pa.array(x[:, 1], pa.int64())], names=["a", "b"])
@@ -461,6 +478,66 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
     return map_arrow(rows.repartition("key").sortWithinPartitions("key", "n", "node"), run, "a bigint, b bigint").distinct()
 
 
+def _bucket_stars(key: np.ndarray, node: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+    """Spanning stars of the local components of every bucket, rows in order of the key; in a bucket of two the tree is one distance."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    count = np.diff(np.r_[first, len(key)])
+    two = first[count == 2]
+    two = two[distances(fps[two], fps[two + 1]) <= radius]
+    out = [np.stack([node[two + 1], node[two]], axis=1)]
+    for lo, n in zip(first[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+        if stars := _stars(node[lo : lo + n], fps[lo : lo + n], radius):
+            out.append(np.array(stars, np.int64))
+    return np.concatenate(out)
+
+
+def near_links(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Edges (a, b) that connect all sets with fingerprints within ``RADIUS`` bits that share a prefix shingle.
+
+    ``sets`` has columns node (long, unique), prefix (the rarest shingles, as 64-bit words)
+    and fp (the fingerprint); ``counts`` are the counters of ``frequencies``, which bound the
+    rows of every bucket.  A bucket is the sets with one prefix shingle.
+    """
+    names = [f"w{k}" for k in range(WORDS)]
+    crowded = counts > BUCKET
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prefixes = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            fps = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64).reshape(-1, WORDS)
+            node, lengths = b.column(0).to_numpy(), np.array([len(p) for p in prefixes], np.int64)
+            part = np.cumsum(lengths) // _BATCH_ROWS  # as many sets at once as have about so many rows
+            for k in np.unique(part).tolist():
+                lo, hi = np.searchsorted(part, [k, k + 1])
+                key, of = np.concatenate([*prefixes[lo:hi], np.empty(0, np.int64)]), np.repeat(np.arange(lo, hi), lengths[lo:hi])
+                for x in range(0, len(key), 50_000):
+                    i = of[x : x + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[x : x + 50_000]), pa.array(node[i]), *(pa.array(fps[i, w]) for w in range(WORDS))], names=["key", "node", *names])
+
+    def in_crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = np.concatenate([*(np.frombuffer(x, np.int64) for x in b.column(0).to_pylist()), np.empty(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(key[crowded[key.view(np.uint64) & np.uint64(_COUNTERS - 1)]])], names=["key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.empty((0, 2 + WORDS), np.int64)  # of the last key so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.concatenate([rows, np.stack([c.to_numpy() for c in b.columns], axis=1)])
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            yield _pairs(_bucket_stars(rows[:last, 0], rows[:last, 1], rows[:last, 2:].view(np.uint64), RADIUS))
+            rows = rows[last:]
+        yield _pairs(_bucket_stars(rows[:, 0], rows[:, 1], rows[:, 2:].view(np.uint64), RADIUS))
+
+    rows = map_arrow(sets.select("node", "prefix", "fp"), spread, ", ".join(f"{c} bigint" for c in ("key", "node", *names)))
+    if crowded.any():
+        large = map_arrow(sets.select("prefix"), in_crowded, "key bigint").groupBy("key").count().filter(F.col("count") > BUCKET)
+        if not large.isEmpty():
+            rows = _in_parts(rows, large, names)
+    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), run, "a bigint, b bigint").distinct()
+
+
 def _similar(nodes: list[int], sets: list[np.ndarray], side: list[int], similarity: float, all_links: bool = False) -> list[tuple[int, int]]:
     """Spanning edges (or all) of the pairs with an exact Jaccard similarity of ``similarity`` or more: across sides 0 and 1, or all if there is one side."""
     sizes = np.array([len(x) for x in sets])
@@ -639,30 +716,36 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(np.array(divmod(xxhash.xxh3_128_intdigest(shingles.tobytes(), SEED), 2**64), np.uint64).view(np.int64).tolist())
 
 
-def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", by: str = "simhash") -> DataFrame:
     """The rows of ``docs``, one for each group of near-duplicates: one with the least id.
 
     Groups are the components of the pairs whose sets of distinct ``size``-word shingles
-    have a Jaccard similarity of at least ``similarity``.  Sets are known by 128-bit digests
+    have a Jaccard similarity of at least ``similarity`` and, but for ``by="prefix"``,
+    fingerprints within ``RADIUS`` bits (which suits a similarity of 0.8 or more).  Sets are known by 128-bit digests
     and equal sets are one node.  Only sizes and prefixes are written, and the sets of
     candidates; texts are read again where they are needed.  The rows to keep are found by
     a join on digest and id, which spreads even a large group of copies.
     """
+    if by not in ("simhash", "prefix"):
+        raise ValueError(f"unknown way to propose links: {by}")
+    if by == "simhash" and similarity < 0.8:
+        raise ValueError("RADIUS is meant for similarities from 0.8 on")
     texts = docs.select(columns_of(docs)[docs.columns.index(id_col)].alias("id"), columns_of(docs)[docs.columns.index(text_col)].cast("binary").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size, text_col))
+    counters = frequencies(docs, size, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(counters)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for b in batches:
             sets = list(shingle_sets(b.column(1).to_pylist(), size))
             digests = np.array([_digest(x) for x in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(x) for x in sets], pa.int32()), pa.array([prefix(x, counts, similarity).tobytes() for x in sets], pa.binary())], names=["id", "d0", "d1", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(x) for x in sets], pa.int32()), pa.array([prefix(x, counts, similarity).tobytes() for x in sets], pa.binary()), pa.array([set_fingerprint(x) for x in sets], pa.binary())], names=["id", "d0", "d1", "n", "prefix", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))).alias("best")
-    rows = map_arrow(texts, describe, f"id {kind}, d0 bigint, d1 bigint, n int, prefix binary")
-    distinct = materialize(rows.groupBy("d0", "d1").agg(best, F.count("*").alias("rows"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("node", F.monotonically_increasing_id()))
-    label = materialize(components(candidates(distinct, similarity)))
+    rows = map_arrow(texts, describe, f"id {kind}, d0 bigint, d1 bigint, n int, prefix binary, fp binary")
+    distinct = materialize(rows.groupBy("d0", "d1").agg(best, F.count("*").alias("rows"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()))
+    label = materialize(components(near_links(distinct, counters) if by == "simhash" else candidates(distinct, similarity)))
     found = materialize(distinct.select("node", "d0", "d1").join(label, "node"))
     wanted = docs.sparkSession.sparkContext.broadcast(_bits_of(found.select("d0")))
 

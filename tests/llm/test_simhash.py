@@ -196,3 +196,43 @@ def test_keep_one_equals_brute_force_near_the_limit_and_in_a_large_group(spark):
     want = [data[a][0] for a in range(len(data)) if find(a) == a]
     assert sum(i < 1000 for i in want) == 120 and 1 < sum(i >= 1000 for i in want) < 299
     assert sorted(x.doc_id for x in S.keep_one(messy.documents(spark, data)).collect()) == want
+
+
+def test_set_fingerprints_and_bucket_stars_equal_brute_force(monkeypatch):
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 4, 5, 300, 700)]
+    for x in sets:
+        for k, word in enumerate(np.frombuffer(S.set_fingerprint(x), ">u8").tolist()):
+            h = S._mixed(x, k + 1).tolist()
+            assert word == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
+    fps = rng.integers(0, 2**63, (900, S.WORDS)).astype(np.uint64)
+    for i in range(1, 900, 2):  # every other one near to the one before it, some just out of the radius
+        flip = rng.permutation(64 * S.WORDS)[: rng.integers(S.RADIUS - 8, S.RADIUS + 8)]
+        fps[i] = fps[i - 1] ^ np.packbits(np.isin(np.arange(64 * S.WORDS), flip)).view(np.uint64)
+    key = np.sort(rng.integers(0, 150, 450)).repeat(2)  # pairs stay together
+    label = {int(x): int(x) for x in range(900)}
+    for a, b in S._bucket_stars(key, np.arange(900), fps, S.RADIUS).tolist():
+        old, new = label[a], label[b]
+        label = {x: new if y == old else y for x, y in label.items()}
+    want = list(range(900))
+    for a in range(900):
+        for b in range(a):
+            if key[a] == key[b] and np.bitwise_count(fps[a] ^ fps[b]).sum() <= S.RADIUS and want[a] != want[b]:
+                want = [want[b] if x == want[a] else x for x in want]
+    groups = lambda of: {frozenset(x for x in range(900) if of[x] == y) for y in set(of[x] for x in range(900))}
+    assert groups(label) == groups(want) and len(set(want)) > 500
+
+
+@pytest.mark.parametrize("bucket", [S.BUCKET, 100])
+def test_texts_that_share_a_few_rare_shingles_are_no_candidates(spark, bucket, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET", bucket)  # 100: the bucket of the shared line in parts
+    seen = []
+    plain = S.verified
+    monkeypatch.setattr(S, "verified", lambda sets, similarity: seen.append(sorted(r.node for r in sets.select("node").collect())) or plain(sets, similarity))
+    line = "a line of six common words"
+    data = []
+    for k in range(250):  # each shares shingles with the next one and, in its prefix, a line with all
+        data.append((k, " ".join([*(f"w{k}x{i}" for i in range(20)), line, *(f"w{k + 1}x{i}" for i in range(8))])))
+    data += [(1000, data[0][1] + " more"), (1001, data[0][1] + " or less")]
+    assert sorted(r.doc_id for r in S.keep_one(messy.documents(spark, data)).collect()) == list(range(250))
+    assert [len(x) for x in seen] == [3]  # the near copies alone, not a component of all
