@@ -32,7 +32,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    """Keeps one document of each group of near-duplicates: fingerprints linked by BK-trees, then an exact test (five-word shingles, similarity 0.8 or more)."""
     return simhash.keep_one(docs)
 
 

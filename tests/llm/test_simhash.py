@@ -236,3 +236,12 @@ def test_texts_that_share_a_few_rare_shingles_are_no_candidates(spark, bucket, m
     data += [(1000, data[0][1] + " more"), (1001, data[0][1] + " or less")]
     assert sorted(r.doc_id for r in S.keep_one(messy.documents(spark, data)).collect()) == list(range(250))
     assert [len(x) for x in seen] == [3]  # the near copies alone, not a component of all
+
+
+def test_links_by_fingerprints_are_all_links(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ids = lambda by: sorted(r.doc_id for r in S.keep_one(docs, by=by).select("doc_id").collect())
+    kept = ids("simhash")
+    assert kept == ids("prefix") and 0 < len(kept) < docs.count()
+    with pytest.raises(ValueError):
+        S.keep_one(docs, similarity=0.5)
