@@ -31,11 +31,26 @@ def direct_edges(gates: DataFrame, ranges: int = 256) -> DataFrame:
     return found.select(F.coalesce("inside", "before").alias("src"), F.col("seq").alias("dst"), "qubit").filter("src IS NOT NULL")
 
 
-def all_edges(gates: DataFrame) -> DataFrame:
-    """(src, dst): every earlier gate on a shared qubit, the transitive form (quadratic in a qubit's gates by definition)."""
-    u = uses(gates)
-    a, b = u.alias("a"), u.alias("b")
-    return a.join(b, (F.col("a.qubit") == F.col("b.qubit")) & (F.col("a.seq") < F.col("b.seq"))).select(F.col("a.seq").alias("src"), F.col("b.seq").alias("dst")).distinct()
+def all_edges(gates: DataFrame, block: int = 2048) -> DataFrame:
+    """(src, dst): every earlier gate on a shared qubit, the transitive form (quadratic in a qubit's gates by definition).
+
+    Gates with the same qubits are packed, in blocks of at most ``block``, and blocks that
+    share a qubit meet once, so a pair is made once: nothing of the result's size is
+    shuffled or made distinct.  Rows with the same seq count as one gate on all their qubits.
+    """
+    one = uses(gates).filter("seq IS NOT NULL AND qubit IS NOT NULL").groupBy("seq").agg(F.sort_array(F.collect_set("qubit")).alias("qubits"))
+    # dealt by hash to about n / block blocks a set of qubits; a block that is too full by chance stays right
+    sized = one.join(one.groupBy("qubits").agg(F.ceil(F.count("*") / block).alias("blocks")), "qubits")
+    packed = sized.groupBy("qubits", F.pmod(F.xxhash64("seq"), F.col("blocks")).alias("block")).agg(F.sort_array(F.collect_list("seq")).alias("seqs"))
+    ends = packed.select("qubits", "block", F.col("seqs")[0].alias("low"), F.element_at("seqs", -1).alias("high"), F.explode("qubits").alias("qubit"))
+    x, y = ends.alias("x"), ends.alias("y")
+    first = F.array_min(F.array_intersect("x.qubits", "y.qubits")) == F.col("x.qubit")
+    meet = x.join(y, (F.col("x.qubit") == F.col("y.qubit")) & (F.col("x.low") < F.col("y.high")) & first)
+    meet = meet.select(F.col("x.qubits").alias("xq"), F.col("x.block").alias("xb"), F.col("y.qubits").alias("qubits"), F.col("y.block").alias("block"))
+    sources = packed.select(F.col("qubits").alias("xq"), F.col("block").alias("xb"), F.col("seqs").alias("sources"))
+    pairs = meet.join(packed, ["qubits", "block"]).join(sources, ["xq", "xb"]).select("sources", "seqs")
+    tasks = int(gates.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: a small shuffle in front of much output must not shrink to a few tasks
+    return pairs.repartition(tasks, F.xxhash64("sources", "seqs")).select(F.explode("sources").alias("src"), "seqs").select("src", F.explode("seqs").alias("dst")).filter("src < dst")
 
 
 def batch_ids(gates: DataFrame, size: int) -> DataFrame:
